@@ -86,7 +86,7 @@ def line_dedup(documents: DataFrame, min_chars: int = 40, min_docs: int = 5, n_b
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     lines = line_table(docs, min_chars, n_batches)
-    frequent = line_runs(lines, n_batches, fan).where(F.col("n_docs") >= min_docs).select("k1", "k2", "holder")
+    frequent = materialize(line_runs(lines, n_batches, fan).where(F.col("n_docs") >= min_docs).select("k1", "k2", "holder"), "frequent")
     lost = lines.join(frequent, ["k1", "k2"]).where(F.col("doc_id") != F.col("holder"))
     lost = lost.groupBy("doc_id", "version").agg(F.collect_set("pos").alias("dropped"))
     found = docs.withColumn("version", F.xxhash64("text")).join(lost, ["doc_id", "version"], "left")
