@@ -9,6 +9,9 @@ the non-negative unbiased risk
 with the logistic loss: where the second part falls below zero, which only overfitting does, the step is taken
 against it.  The model is additive: each feature of a text is cut into quantile bins with a weight each.
 
+Its margin is then calibrated by a logistic curve (slope and offset) on labelled training rows of either class,
+so that a score is the chance of label 1.
+
 Features (of whole texts) are shares of character classes, repetition of words, word triples and lines, word
 and line lengths and compressibility; neither ids, labels, language nor source are among them.  They are
 computed once for all texts and written to the shared folder.  Training reads up to `positives` and `unlabelled`
@@ -99,6 +102,7 @@ class AdditiveModel:
     def __init__(self, edges: list[np.ndarray], bins: int = BINS):
         self.edges, self.bins = edges, bins
         self.weights, self.bias = np.zeros((len(edges), bins)), 0.0
+        self.slope, self.offset = 1.0, 0.0
 
     @classmethod
     def over(cls, x: np.ndarray, bins: int = BINS) -> AdditiveModel:
@@ -112,15 +116,32 @@ class AdditiveModel:
         return self.weights[np.arange(cells.shape[1]), cells].sum(axis=1) + self.bias
 
     def scores(self, x: np.ndarray) -> np.ndarray:
-        return sigmoid(self.margin(self.cells(x)))
-
-
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, ridge: float = 1e-3) -> AdditiveModel:
+        return sigmoid(self.slope * self.margin(self.cells(x)) + self.offset)
+
+    def calibrate(self, x: np.ndarray, label: np.ndarray, steps: int = 50) -> None:
+        """Slope and offset by Newton steps on the logistic loss, with Platt's targets."""
+        n_1, n_0 = int(label.sum()), int((1 - label).sum())
+        if not n_1 or not n_0:
+            return
+        target = np.where(label == 1, (n_1 + 1) / (n_1 + 2), 1 / (n_0 + 2))
+        design = np.stack((self.margin(self.cells(x)), np.ones(len(x))), axis=1)
+        beta = np.array([1.0, 0.0])
+        for _ in range(steps):
+            p = sigmoid(design @ beta)
+            curve = (design * (p * (1 - p))[:, None]).T @ design + 1e-6 * np.eye(2)
+            move = np.linalg.solve(curve, design.T @ (p - target))
+            beta -= np.clip(move, -2, 2)
+        if beta[0] > 0:
+            self.slope, self.offset = float(beta[0]), float(beta[1])
+
+
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05) -> AdditiveModel:
     """Minimise the non-negative unbiased risk by Adam over all rows."""
     model = AdditiveModel.over(np.concatenate((positive, unlabelled)))
     cells_p, cells_u = model.cells(positive), model.cells(unlabelled)
     f = cells_p.shape[1]
     flat_p, flat_u = (c + np.arange(f) * model.bins for c in (cells_p, cells_u))
+    ridge = max(1e-3, 2 / len(positive))
     moment, square = np.zeros(f * model.bins + 1), np.zeros(f * model.bins + 1)
     for step in range(1, steps + 1):
         s_p, s_u = sigmoid(model.margin(cells_p)), sigmoid(model.margin(cells_u))
@@ -150,14 +171,16 @@ def learn(table: DataFrame, labels: DataFrame, teaches: Column, positives: int =
     if not prior:
         return None
     mine = table.where(teaches & F.col("doc_id").isNotNull())
-    first = lambda rows, n: np.array([r.x for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n).select("x").collect()])
-    trusted = first(mine.join(known.where("quality = 1"), "doc_id"), positives)
+    first = lambda rows, n: np.array([r.x for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n).select("x").collect()]).reshape(-1, N_FEATURES)
+    trusted, doubtful = (first(mine.join(known.where(F.col("quality") == q), "doc_id"), positives) for q in (1, 0))
     if not len(trusted):
         return None
     rest = first(mine.join(labels.select("doc_id"), "doc_id", "left_anti"), unlabelled)
     if not len(rest):
-        rest = first(mine.join(known, "doc_id"), unlabelled)
-    return fit(trusted, rest, min(float(prior), 0.99))
+        rest = np.concatenate((trusted, doubtful))
+    model = fit(trusted, rest, min(float(prior), 0.99))
+    model.calibrate(np.concatenate((trusted, doubtful)), np.repeat([1, 0], [len(trusted), len(doubtful)]))
+    return model
 
 
 def score(table: DataFrame, model: AdditiveModel | None) -> DataFrame:
