@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import materialize, scratch
+from nearfield.llm.common import doc_texts, materialize, scratch
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The characters [\x20\x09-\x0D].
@@ -78,21 +78,40 @@ def line_runs(lines: DataFrame, n_batches: int, fan: int) -> DataFrame:
     return compact([run for level in levels for run in level])
 
 
-def line_dedup(documents: DataFrame, min_chars: int = 40, min_docs: int = 5, n_batches: int = 4, fan: int = 2) -> DataFrame:
+def lost_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, n_batches: int = 4, fan: int = 2) -> DataFrame:
+    """(doc_id, version, dropped): the positions of the lines that go, of the texts that lose any."""
+    lines = line_table(docs, min_chars, n_batches)
+    frequent = materialize(line_runs(lines, n_batches, fan).where(F.col("n_docs") >= min_docs).select("k1", "k2", "holder"), "frequent")
+    lost = lines.join(frequent, ["k1", "k2"]).where(F.col("doc_id") != F.col("holder"))
+    return lost.groupBy("doc_id", "version").agg(F.collect_set("pos").alias("dropped"))
+
+
+def kept_text(text: Column, dropped: Column) -> Column:
+    """The text without the lines at these positions; all of it where dropped is null."""
+    return F.when(dropped.isNull(), text).otherwise(F.array_join(F.filter(F.split(text, "\n", -1), lambda line, i: ~F.array_contains(dropped, i)), "\n"))
+
+
+def line_dedup(documents: DataFrame, **limits) -> DataFrame:
     """(doc_id, lines, dropped, kept): the lines of each text, the positions that go, the text that stays.
 
     A key of at least `min_chars` code points found in at least `min_docs` documents loses all its lines
     except those in the largest doc_id that holds it.
     """
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    lines = line_table(docs, min_chars, n_batches)
-    frequent = materialize(line_runs(lines, n_batches, fan).where(F.col("n_docs") >= min_docs).select("k1", "k2", "holder"), "frequent")
-    lost = lines.join(frequent, ["k1", "k2"]).where(F.col("doc_id") != F.col("holder"))
-    lost = lost.groupBy("doc_id", "version").agg(F.collect_set("pos").alias("dropped"))
-    found = docs.withColumn("version", F.xxhash64("text")).join(lost, ["doc_id", "version"], "left")
-    split = F.split("text", "\n", -1)
-    kept = F.when(F.col("dropped").isNull(), F.col("text")).otherwise(F.array_join(F.filter(split, lambda line, i: ~F.array_contains("dropped", i)), "\n"))
-    return found.select("doc_id", split.alias("lines"), F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped"), kept.alias("kept"))
+    docs = doc_texts(documents)
+    found = docs.withColumn("version", F.xxhash64("text")).join(lost_lines(docs, **limits), ["doc_id", "version"], "left")
+    kept = kept_text(F.col("text"), F.col("dropped"))
+    return found.select("doc_id", F.split("text", "\n", -1).alias("lines"), F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped"), kept.alias("kept"))
+
+
+def drop_lines(documents: DataFrame, **limits) -> DataFrame:
+    """All rows and columns of `documents`, the texts without the lines that go; n_chars, if there, follows the text."""
+    lost = lost_lines(doc_texts(documents), **limits).select(F.col("doc_id").alias("_nf_doc"), F.col("version").alias("_nf_version"), F.col("dropped").alias("_nf_dropped"))
+    found = documents.join(lost, (F.col("doc_id") == F.col("_nf_doc")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_nf_version")), "left")
+    found = found.withColumn("text", kept_text(F.col("text"), F.col("_nf_dropped")))
+    if "n_chars" in documents.columns:
+        kind = documents.schema["n_chars"].dataType
+        found = found.withColumn("n_chars", F.when(F.col("_nf_dropped").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(kind))
+    return found.select(*documents.columns)
 
 
 def digest(result: DataFrame) -> DataFrame:

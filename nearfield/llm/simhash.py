@@ -28,7 +28,7 @@ from itertools import chain, combinations, islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -80,14 +80,14 @@ def signed(x: int) -> int:
 
 
 def fingerprints(documents: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp): fp holds the 64 bits as a signed long."""
+    """(doc_id, version, fp): fp holds the 64 bits as a signed long, version is a hash of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [signed(fingerprint(x.as_py(), shingle)) for x in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("version"), pa.array(found, pa.int64())], names=["doc_id", "version", "fp"])
 
-    return doc_texts(documents).mapInArrow(run, "doc_id long, fp long")
+    return doc_texts(documents).withColumn("version", F.xxhash64("text")).mapInArrow(run, "doc_id long, version long, fp long")
 
 
 def bit_matrix(fps: np.ndarray) -> np.ndarray:
@@ -261,12 +261,25 @@ def links(distinct: DataFrame, distance: int = 2, m: int = 3, bucket_rows: int =
 
 
 def near_duplicates(documents: DataFrame, shingle: int = 3, distance: int = 2, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """(doc_id, fp, component_id) of every document."""
+    """(doc_id, version, fp, component_id) of every document."""
     prints = materialize(fingerprints(documents, shingle), "fingerprints")
     distinct = materialize(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
     found = connected_components(links(distinct, distance, bucket_rows=bucket_rows))
     labels = distinct.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(labels, "fp", "left").select("doc_id", "fp", "component_id")
+    return prints.join(labels, "fp", "left").select("doc_id", "version", "fp", "component_id")
+
+
+def drop_duplicates(documents: DataFrame, **limits) -> DataFrame:
+    """The rows of `documents`, all columns, but one for each component: that with its smallest doc_id, once.
+
+    Rows without a doc_id stay.
+    """
+    found = near_duplicates(documents, **limits).where("doc_id = component_id")
+    keep = found.groupBy("doc_id", "fp").agg(F.min("version").alias("version")).select(F.col("doc_id").alias("_nf_doc"), F.col("version").alias("_nf_version"))
+    rows = documents.where("doc_id is not null").withColumn("_nf_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    rows = rows.join(keep, (F.col("doc_id") == F.col("_nf_doc")) & (F.col("_nf_hash") == F.col("_nf_version")), "left_semi")
+    once = rows.withColumn("_nf_row", F.row_number().over(Window.partitionBy("doc_id", "_nf_hash").orderBy(F.lit(0)))).where("_nf_row = 1")
+    return once.select(*documents.columns).union(documents.where("doc_id is null"))
 
 
 def digest(result: DataFrame) -> DataFrame:
