@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,7 +66,7 @@ def held_out(doc_id):
 
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows of about `limit` bytes of `column`; a longer row comes alone."""
-    lengths = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0))
+    lengths = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0))
     first, total = 0, 0
     for k, n in enumerate(lengths.tolist()):
         if k > first and total + n > limit:

@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,7 +56,7 @@ def blocks(vectors: DataFrame, block: int = BLOCK) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lengths = np.asarray(pa.compute.list_value_length(batch.column("x")))
+            lengths = np.asarray(pc.list_value_length(batch.column("x")))
             for dim in np.unique(lengths).tolist():
                 some = batch.take(pa.array(np.flatnonzero(lengths == dim)))
                 ids, x = np.asarray(some.column("vec_id")), matrix(some.column("x"), dim) if dim else np.zeros((len(some), 0))
