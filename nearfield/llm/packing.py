@@ -126,11 +126,17 @@ def best_fit(left: np.ndarray, capacity: int) -> list[Pattern]:
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[Pattern]:
-    """Patterns that use every piece of the counted lengths exactly once."""
+    """Patterns that use every piece of the counted lengths exactly once.
+
+    Where few lengths occur, exact fillings can use up the short pieces that best fit alone would have needed
+    more; then the plan of best fit alone is taken, if it has fewer sequences.
+    """
     left = np.zeros(capacity + 1, dtype=np.int64)
     for length, n in counts.items():
         left[length] = n
-    return complements(left, capacity) + best_fit(left, capacity)
+    plain = best_fit(left.copy(), capacity)
+    exact = complements(left, capacity) + best_fit(left, capacity)
+    return min(exact, plain, key=lambda patterns: sum(p.times for p in patterns))
 
 
 def places(patterns: list[Pattern]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:

@@ -141,7 +141,7 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int =
     cells_p, cells_u = model.cells(positive), model.cells(unlabelled)
     f = cells_p.shape[1]
     flat_p, flat_u = (c + np.arange(f) * model.bins for c in (cells_p, cells_u))
-    ridge = max(1e-3, 2 / len(positive))
+    ridge = max(1e-3, 0.5 / len(positive))
     moment, square = np.zeros(f * model.bins + 1), np.zeros(f * model.bins + 1)
     for step in range(1, steps + 1):
         s_p, s_u = sigmoid(model.margin(cells_p)), sigmoid(model.margin(cells_u))

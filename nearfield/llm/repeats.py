@@ -233,7 +233,7 @@ def counted(rows: DataFrame) -> DataFrame:
 def repeated_segments(segments: DataFrame, crowd: int = CROWD) -> DataFrame:
     """(core, context, mask) of every segment with windows that occur elsewhere."""
     distinct = materialize(segments.groupBy("core", "context").agg(F.count("*").alias("times"), F.max("valid").alias("valid")), "contexts")
-    cores = distinct.groupBy("core").agg(F.count("*").alias("flanks"), F.max("times").alias("most")).where("flanks > 1 or most > 1")
+    cores = materialize(distinct.groupBy("core").agg(F.count("*").alias("flanks"), F.max("times").alias("most")).where("flanks > 1 or most > 1"), "cores")
     known = distinct.join(cores, "core")
     alone = known.where("flanks = 1").select("core", "context", F.col("valid").alias("mask"))
     various = known.where("flanks > 1").select("core", "context", "times", "flanks")
@@ -280,7 +280,7 @@ def remove_repeats(documents: DataFrame, crowd: int = CROWD) -> DataFrame:
     """Every document without the bytes that a 400-byte string occurring elsewhere covers."""
     docs = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), F.coalesce("text", F.lit("")).alias("text")).withColumn("version", F.xxhash64("text"))
     anchors = materialize(anchor_table(docs), "anchors")
-    repeated = anchors.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    repeated = materialize(anchors.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "repeated")
     spans = anchors.join(repeated, "key", "left_semi").groupBy("doc", "version").agg(F.collect_list(F.struct("anchor", "low", "high")).alias("runs"))
     segments = materialize(segment_table(docs, spans), "segments")
     found = repeated_segments(segments, crowd)

@@ -41,7 +41,7 @@ def integer_vectors(embeddings: DataFrame) -> DataFrame:
 
 
 def matrix(column: pa.Array, dim: int) -> np.ndarray:
-    return np.asarray(column.flatten()).reshape(-1, dim)
+    return np.asarray(column.flatten()).reshape(len(column), dim)
 
 
 def ordered(x: np.ndarray) -> np.ndarray:
@@ -59,7 +59,7 @@ def blocks(vectors: DataFrame, block: int = BLOCK) -> DataFrame:
             lengths = np.asarray(pc.list_value_length(batch.column("x")))
             for dim in np.unique(lengths).tolist():
                 some = batch.take(pa.array(np.flatnonzero(lengths == dim)))
-                ids, x = np.asarray(some.column("vec_id")), matrix(some.column("x"), dim) if dim else np.zeros((len(some), 0))
+                ids, x = np.asarray(some.column("vec_id")), matrix(some.column("x"), dim)
                 order = ordered(x)
                 rows = [(dim, ids[own].tobytes(), x[own].tobytes(), x[own].max(axis=0).tobytes(), x[own].min(axis=0).tobytes()) for i in range(0, len(order), block) for own in [order[i : i + block]]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 4), strict=True)], names=["dim", "ids", "forward", "upper", "lower"])
@@ -104,7 +104,7 @@ def search_batch(stored: DataFrame, q_ids: np.ndarray, q: np.ndarray, k: int) ->
             bounds += np.abs(bounds) * 1e-12
             order = np.argsort(-bounds, axis=0, kind="stable")
             ids = [np.frombuffer(r["ids"], np.int64) for r in rows]
-            forward = [np.frombuffer(r["forward"]).reshape(-1, dim) for r in rows]
+            forward = [np.frombuffer(r["forward"]).reshape(len(own), dim) for r, own in zip(rows, ids, strict=True)]
             going = np.ones(len(q_ids), bool)
             for step in range(len(rows)):
                 for j in np.flatnonzero(going):
