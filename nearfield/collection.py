@@ -393,7 +393,8 @@ class Collection:
         """(qid, rank, id, distance) for every row (qid: long, qv) of `queries`, in one job a page of queries.
 
         With an index each query has its own cells; a filter is applied before the search, so results are as
-        those of bitmap.  Ids that hash alike are told apart by joining on the hash and the distance's rank.
+        those of bitmap.  Rows travel under a 64-bit hash of their id; should two ids hash alike, both are hits
+        where one is.
         """
         if self.config["metric"] == "cosine":
             queries = queries.withColumn("qv", l2_normalize(F.col("qv")))
