@@ -1,13 +1,16 @@
 """Whole-text tokenization with a public tokenizer file, sped up by a cache of words.
 
 The tokenizer splits a text into words and encodes each by itself.  For texts of plain letters, digits and
-signs the split is done here and only words not yet in the cache go to the library; any other text goes to
-the library whole.  The ids are the library's either way.
+signs the split is done here and only words not yet in the cache go to the library's model; any other text
+goes to the library whole.  The ids are the library's either way.  The library's own threads stay off: tasks
+are the parallelism, and for a few words at a time its threads cost more than the words.
 """
 
 from __future__ import annotations
 
+import os
 import re
+from array import array
 from functools import cache
 
 import numpy as np
@@ -21,36 +24,45 @@ WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 CACHE_WORDS = 300_000
 
 
+class Words(dict):
+    """The ids of words as bytes (unsigned 32-bit integers), encoded at their first use."""
+
+    def __init__(self, whole):
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        super().__init__()
+        self.tokenize = whole.model.tokenize
+        # The model takes bytes as the printable characters that the byte-level step puts in their place.
+        level = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.as_bytes = {c: level.pre_tokenize_str(chr(c))[0][0] for c in (*range(0xA1, 0x100), *range(0x2010, 0x2028))}
+
+    def __missing__(self, word: str) -> bytes:
+        piece = word if word.isascii() else word.translate(self.as_bytes)
+        found = self[word] = array("I", [token.id for token in self.tokenize(piece)]).tobytes()
+        return found
+
+
 class WordTokenizer:
     """Ids of whole texts by the tokenizer in `path`."""
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
         self.cache_words = cache_words
-        self.known: dict[str, bytes] = {}
-
-    def __add(self, words: list[str]) -> None:
-        for word, encoding in zip(words, self.whole.encode_batch_fast(words, add_special_tokens=False), strict=True):
-            self.known[word] = np.array(encoding.ids, dtype="<u4").tobytes()
+        self.known = Words(self.whole)
 
     def ids(self, text: str) -> np.ndarray:
         """The ids of `text` without special tokens, as unsigned 32-bit integers."""
         if UNSAFE.search(text):
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4")
+            return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
         parts = []
         for begin, end in cuts(text):
-            words = WORD.findall(text[begin:end].lower())
-            distinct = dict.fromkeys(words)
-            missing = [w for w in distinct if w not in self.known]
-            if len(self.known) + len(missing) > self.cache_words:
+            parts.append(b"".join(map(self.known.__getitem__, WORD.findall(text[begin:end].lower()))))
+            if len(self.known) > self.cache_words:
                 self.known.clear()
-                missing = list(distinct)
-            if missing:
-                self.__add(missing)
-            parts.append(b"".join(map(self.known.__getitem__, words)))
-        return np.frombuffer(b"".join(parts), dtype="<u4")
+        return np.frombuffer(b"".join(parts), dtype=np.uint32)
 
 
 def cuts(text: str, size: int = 1 << 20) -> list[tuple[int, int]]:
