@@ -164,7 +164,7 @@ class Collection:
             self.__index["lsn"] = self.snapshot_lsn
             if path := self.__snapshot("cells"):
                 rows = self.spark.read.parquet(path).orderBy("cell").collect()
-                self.__index["cells"] = ivf.Cells(np.array([r.centroid for r in rows]), np.array([r.n for r in rows]))
+                self.__index["cells"] = ivf.Cells(np.array([r.centroid for r in rows]), np.array([r.n for r in rows]), self.manifest.get("oversample", ivf.OVERSAMPLE))
             if path := self.__snapshot("codebooks"):
                 rows = self.spark.read.parquet(path).orderBy("subspace").collect()
                 self.__index["codebooks"] = np.array([np.array(r.centroids) for r in rows])
@@ -299,7 +299,8 @@ class Collection:
         rows.write.parquet(f"{target}/records")
         written = self.spark.read.parquet(f"{target}/records")
         if cells is not None:
-            counts = ivf.cells_of(written, cells).counts
+            built = ivf.cells_of(written, cells)
+            counts, self.manifest["oversample"] = built.counts, ivf.tune(written, built, ef=self.config["hnsw"]["ef_search"])
             self.spark.createDataFrame([(i, c.tolist(), int(k)) for i, (c, k) in enumerate(zip(cells, counts, strict=True))], "cell int, centroid array<double>, n long").write.parquet(f"{target}/cells")
         if codebooks is not None:
             self.spark.createDataFrame([(j, b.tolist()) for j, b in enumerate(codebooks)], "subspace int, centroids array<array<double>>").write.parquet(f"{target}/codebooks")

@@ -26,11 +26,43 @@ def value_frequencies(records: DataFrame, name: str) -> DataFrame:
     return records.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("value")).agg(F.count("*").alias("n"))
 
 
+def order_statistics(records: DataFrame, name: str, points: int = QUANTILES) -> list[float]:
+    """Exact quantiles at `points` equal steps, interpolated between the values around each.
+
+    The column is sorted across partitions; only the partitions' counts and the values at the wanted places
+    reach the driver.
+    """
+    ordered = records.where(F.col(name).isNotNull()).select(F.col(name).cast("double").alias("v")).sort("v")
+    placed = ordered.withColumn("at", F.monotonically_increasing_id()).select("v", F.shiftright("at", 33).alias("part"), F.col("at").bitwiseAND(F.lit((1 << 33) - 1)).alias("row")).persist()
+    try:
+        counts = {r.part: r.n for r in placed.groupBy("part").agg(F.count("*").alias("n")).collect()}
+        n, before, firsts = sum(counts.values()), 0, []
+        if not n:
+            return []
+        for part in sorted(counts):
+            firsts.append((before, part))
+            before += counts[part]
+        where = [i * (n - 1) / (points - 1) for i in range(points)]
+        places = sorted({int(w) for w in where} | {min(n - 1, int(w) + 1) for w in where})
+        wanted, k = [], 0
+        for place in places:
+            while k + 1 < len(firsts) and firsts[k + 1][0] <= place:
+                k += 1
+            wanted.append((firsts[k][1], place - firsts[k][0], place))
+        picks = records.sparkSession.createDataFrame(wanted, "part long, row long, place long")
+        values = {r.place: r.v for r in placed.join(F.broadcast(picks), ["part", "row"]).select("place", "v").collect()}
+    finally:
+        placed.unpersist()
+    return [values[int(w)] + (w - int(w)) * (values[min(n - 1, int(w) + 1)] - values[int(w)]) for w in where]
+
+
 def quantiles(records: DataFrame, name: str, points: int = QUANTILES, exact: bool = True) -> DataFrame:
     """(point, quantile): linear interpolation between order statistics, or a sketch's values."""
+    if exact:
+        found = order_statistics(records, name, points)
+        return records.sparkSession.createDataFrame(list(enumerate(found)), "point int, quantile double")
     shares = F.array(*(F.lit(i / (points - 1)) for i in range(points)))
-    values = F.percentile(name, shares) if exact else F.percentile_approx(name, shares, 10_000)
-    return records.agg(values.alias("q")).select(F.posexplode("q").alias("point", "quantile"))
+    return records.agg(F.percentile_approx(name, shares, 10_000).alias("q")).select(F.posexplode("q").alias("point", "quantile"))
 
 
 def distinct_count(records: DataFrame, name: str, exact: bool = True) -> DataFrame:
@@ -54,15 +86,15 @@ def analyze(records: DataFrame, kinds: dict[str, str], exact_rows: int = EXACT_R
     for name, kind in kinds.items():
         column = F.col(name)
         wanted += [F.count(column).alias(f"n_{name}"), (F.count_distinct(column) if exact else F.approx_count_distinct(column, 0.01)).alias(f"d_{name}")]
-        if kind == NUM:
-            wanted.append((F.percentile(column, shares) if exact else F.percentile_approx(column, shares, 10_000)).alias(f"q_{name}"))
+        if kind == NUM and not exact:
+            wanted.append(F.percentile_approx(column, shares, 10_000).alias(f"q_{name}"))
     row = records.agg(*wanted).first()
     found: dict[str, dict] = {}
     for name, kind in kinds.items():
         present, distinct = row[f"n_{name}"], row[f"d_{name}"]
         own: dict = {"kind": kind, "n": n, "null_frac": 1 - present / n if n else 0.0, "n_distinct": distinct}
         if kind == NUM and present:
-            own["quantiles"] = list(row[f"q_{name}"])
+            own["quantiles"] = order_statistics(records, name) if exact else list(row[f"q_{name}"])
         if distinct <= MAX_FREQUENCIES:
             own["freq"] = {frequency_key(r.value): r.n for r in value_frequencies(records, name).collect()}
         elif kind in (STR, BOOL):

@@ -2,7 +2,8 @@
 
 Vectors are stored in order of their cell, so a scan of a few cells skips the row groups of all others.  A
 query's budget `ef` is the number of candidates it wants: cells are probed in order of their centroids'
-distance until they hold `OVERSAMPLE * ef` live rows, and k at least.  Filters and tombstones apply to the
+distance until they hold `oversample * ef` live rows, and k at least.  How many rows a unit of budget must
+stand for depends on the data, so `tune` measures it on sample queries.  Filters and tombstones apply to the
 candidates of the probed cells.
 """
 
@@ -17,8 +18,12 @@ from pyspark.sql import functions as F
 from nearfield.operators import kmeans
 from nearfield.operators.topk import pages, top_k, top_k_batch
 
-#: Candidates for each unit of budget.
+#: Candidates for each unit of budget, where nothing was measured.
 OVERSAMPLE = 8
+#: Budgets' candidates that `tune` tries, recall it wants, and queries it measures on.
+TRIED = (1, 2, 4, 8, 12, 16, 24, 32, 48, 64, 96, 128, 256, 512, 1024)
+TARGET = 0.95
+LEARN_QUERIES = 64
 
 
 @dataclass
@@ -27,15 +32,16 @@ class Cells:
 
     centroids: np.ndarray
     counts: np.ndarray
+    oversample: int = OVERSAMPLE
 
     def ranked(self, q: np.ndarray) -> np.ndarray:
         return np.argsort(kmeans.squared(q[None, :], self.centroids)[0], kind="stable")
 
-    def probe(self, q: np.ndarray, ef: int, k: int, oversample: int = OVERSAMPLE) -> list[int]:
+    def probe(self, q: np.ndarray, ef: int, k: int, oversample: int | None = None) -> list[int]:
         """The cells for a budget, nearest first."""
         order = self.ranked(q)
         held = np.cumsum(self.counts[order])
-        enough = int(np.searchsorted(held, max(oversample * ef, k), side="left")) + 1
+        enough = int(np.searchsorted(held, max((oversample or self.oversample) * ef, k), side="left")) + 1
         return [int(c) for c in order[:enough]]
 
     def first(self, q: np.ndarray, n: int) -> list[int]:
@@ -63,6 +69,25 @@ def cells_of(assigned: DataFrame, centroids: np.ndarray) -> Cells:
     return Cells(centroids, counts)
 
 
+def tune(assigned: DataFrame, cells: Cells, k: int = 10, ef: int = 64, target: float = TARGET, id: str = "id", vector: str = "vector") -> int:
+    """The smallest oversampling with which sample queries reach the target recall on average; also set on `cells`.
+
+    The queries are vectors of the collection itself, those whose ids hash lowest.
+    """
+    rows = assigned.orderBy(F.xxhash64(id), id).limit(LEARN_QUERIES).select(vector).collect()
+    frame = assigned.sparkSession.createDataFrame([(i, [float(x) for x in r[0]]) for i, r in enumerate(rows)], "qid long, qv array<double>")
+    keyed = assigned.select(F.xxhash64(id).alias("key"), vector, "cell")
+    truth: dict[int, list[int]] = {}
+    for r in top_k_batch(keyed, frame, k, "key", vector).join(keyed.select("key", "cell"), "key").select("qid", "cell").collect():
+        truth.setdefault(r.qid, []).append(r.cell)
+    for tried in TRIED:
+        found = [np.isin(own, cells.probe(np.array(rows[i][0], np.float64), ef, k, tried)).mean() for i, own in truth.items()]
+        if not found or np.mean(found) >= target:
+            break
+    cells.oversample = tried
+    return tried
+
+
 def search(assigned: DataFrame, cells: Cells, query: list[float], k: int, ef: int, predicate: Column | None = None, id: str = "id", vector: str = "vector") -> DataFrame:
     """The k nearest rows in the probed cells that satisfy the predicate."""
     near = assigned.where(F.col("cell").isin(cells.probe(np.asarray(query, np.float64), ef, k)))

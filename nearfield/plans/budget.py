@@ -115,7 +115,7 @@ def training_rows(spark: SparkSession, assigned: DataFrame, cells: ivf.Cells, qu
             order = cells.ranked(v)
             last = max((int(np.flatnonzero(order == c)[0]) for c in needed.get(i, ())), default=0)
             before = int(cells.counts[order[:last]].sum())
-            rows.append((i, *features(v, cells, k), math.log2(max(k, 1 + before / ivf.OVERSAMPLE))))
+            rows.append((i, *features(v, cells, k), math.log2(max(k, 1 + before / cells.oversample))))
     return spark.createDataFrame(rows, "qid long, " + ", ".join(f"{f} double" for f in FEATURES) + ", label double")
 
 
