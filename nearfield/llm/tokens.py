@@ -17,11 +17,18 @@ import numpy as np
 
 #: Appended to each document.
 END_ID = 1
-#: Characters for which lower case, normalization and the split are the same here as in the library.
-UNSAFE = re.compile("[^\t\n\r\x20-\x7eÀ-ÖØ-öø-ÿ‐-‧]|<\\|")
-WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
-#: Words in the cache of one worker: under 100 MB.
-CACHE_WORDS = 300_000
+#: Characters for which lower case, normalization and the split are the same here as in the library: as bytes
+#: (ASCII but for control characters, and U+00C0 to U+00FF), and in full.
+PLAIN = bytes([9, 10, 13, *range(0x20, 0x7F), 0xC3, *range(0x80, 0xC0)])
+UNSAFE = re.compile("[^\t\n\r\x20-\x7eÀ-ÿ‐-‧]")
+WORD = re.compile(r"[^\W\d_]+|'(?:s|t|re|ve|m|ll|d)|\d|(?:[^\s\w]|_)+")
+#: Words in the cache of one worker: under 300 MB.
+CACHE_WORDS = 1_000_000
+
+
+def is_plain(text: str) -> bool:
+    """Whether the text can be split here: no characters but those above, and nothing like a special token."""
+    return "<|" not in text and (not text.encode("utf-8", "surrogatepass").translate(None, PLAIN) or not UNSAFE.search(text))
 
 
 class Words(dict):
@@ -55,7 +62,7 @@ class WordTokenizer:
 
     def ids(self, text: str) -> np.ndarray:
         """The ids of `text` without special tokens, as unsigned 32-bit integers."""
-        if UNSAFE.search(text):
+        if not is_plain(text):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
         parts = []
         for begin, end in cuts(text):
