@@ -17,7 +17,7 @@ The width is the one at which a given share of the block's differences fits (a p
 fit keeps its low bits in place and its high part in the exception list.  Block starts make every block
 readable alone, so a document is read without decoding those before it.
 
-Shards are rows of a Parquet table (part, shard, n_ids, image), written by Spark's writers: any store that
+Shards are rows of a Parquet table (part, shard, first, n_ids, image), written by Spark's writers: any store that
 Spark reaches will do, and a lost task is simply run again.  Documents are range-partitioned by doc_id, so
 parts, shards and documents are in ascending order throughout.
 
@@ -114,42 +114,43 @@ class Shard:
 
 
 def write_shards(documents: DataFrame, tokenizer_path: str, shard_ids: int = SHARD_IDS, block: int = BLOCK, percentile: float = PERCENTILE) -> DataFrame:
-    """(part, shard, n_ids, image): the documents' ids, each document closed by the end id, written and read back."""
+    """(part, shard, first, n_ids, image): the documents' ids, each document closed by the end id, written and read back.
+
+    `first` counts the part's ids before the shard.
+    """
     spark = documents.sparkSession
     docs = doc_texts(documents).repartitionByRange(max(1, partitions(spark)), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, shard, words = TaskContext.get().partitionId(), 0, tokenizer(tokenizer_path)
+        part, shard, first, words = TaskContext.get().partitionId(), 0, 0, tokenizer(tokenizer_path)
         doc_ids, ids, total = [], [], 0
 
         def image() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([total], pa.int64()), pa.array([pack_shard(doc_ids, ids, block, percentile)], pa.binary())], names=["part", "shard", "n_ids", "image"])
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([first], pa.int64()), pa.array([total], pa.int64()), pa.array([pack_shard(doc_ids, ids, block, percentile)], pa.binary())], names=["part", "shard", "first", "n_ids", "image"])
 
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                 own = np.append(words.ids(text.as_py()), np.uint32(END_ID))
                 if ids and total + len(own) > shard_ids:
                     yield image()
-                    shard, doc_ids, ids, total = shard + 1, [], [], 0
+                    shard, first, doc_ids, ids, total = shard + 1, first + total, [], [], 0
                 doc_ids.append(NULL_ID if doc_id is None else doc_id)
                 ids.append(own)
                 total += len(own)
         if ids:
             yield image()
 
-    return materialize(docs.mapInArrow(encode, "part int, shard int, n_ids long, image binary"), "shards")
+    return materialize(docs.mapInArrow(encode, "part int, shard int, first long, n_ids long, image binary"), "shards")
 
 
 def read_documents(shards: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each document, decoded from the shards.
 
-    Starts: a running sum over the parts (as many as shuffle partitions), then one within each part.
+    Only the parts' sizes are summed up across parts; there are as many as shuffle partitions when the shards were
+    written, so their table is small whatever the documents, and images stay where they are.
     """
-    sizes = shards.select("part", "shard", "n_ids")
-    before = F.sum("n_ids").over(Window.partitionBy("part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
-    parts = sizes.groupBy("part").agg(F.sum("n_ids").alias("n"))
-    offsets = parts.withColumn("base", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("part", "base")
-    starts = sizes.withColumn("within", F.coalesce(before, F.lit(0))).join(offsets, "part").select("part", "shard", (F.col("base") + F.col("within")).alias("base"))
+    parts = shards.groupBy("part").agg(F.sum("n_ids").alias("n"))
+    offsets = parts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -163,4 +164,5 @@ def read_documents(shards: DataFrame) -> DataFrame:
                     names=["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
-    return shards.join(starts, ["part", "shard"]).select("base", "image").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    placed = shards.join(F.broadcast(offsets), "part").select((F.col("base") + F.col("first")).alias("base"), "image")
+    return placed.mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
