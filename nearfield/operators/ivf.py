@@ -101,9 +101,15 @@ def search_batch(assigned: DataFrame, cells: Cells, queries: DataFrame, k: int,
         probes |= {int(i): cells.probe(v, ef, k) for i, v in zip(q_ids, q, strict=True)}
     shared = assigned.sparkSession.sparkContext.broadcast(probes)
 
-    def allowed(batch, q_ids: np.ndarray) -> np.ndarray:
+    def by_cell(batch, q_ids: np.ndarray):
         own = np.asarray(batch.column("cell"))
-        return np.stack([np.isin(own, shared.value[int(i)]) for i in q_ids], axis=1)
+        visitors: dict[int, list[int]] = {}
+        for number, i in enumerate(q_ids.tolist()):
+            for c in shared.value[i]:
+                visitors.setdefault(c, []).append(number)
+        for c in np.unique(own).tolist():
+            if c in visitors:
+                yield np.flatnonzero(own == c), np.array(visitors[c])
 
     wanted = sorted({c for own in probes.values() for c in own})
-    return top_k_batch(assigned.where(F.col("cell").isin(wanted)), queries, k, id, vector, mask=allowed, extra=("cell",))
+    return top_k_batch(assigned.where(F.col("cell").isin(wanted)), queries, k, id, vector, groups=by_cell, extra=("cell",))

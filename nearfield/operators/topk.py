@@ -96,17 +96,24 @@ def merge_nearest(parts: list[tuple], k: int) -> tuple[np.ndarray, np.ndarray, n
     return row[keep], ids[keep], d[keep]
 
 
+def by_query(allowed: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The rows of each query that has any."""
+    for j in np.flatnonzero(allowed.any(axis=0)):
+        yield np.flatnonzero(allowed[:, j]), np.array([j])
+
+
 def ranked(candidates: DataFrame, k: int, id: str = "id") -> DataFrame:
     """The k nearest of each query among candidates (qid, id, distance), with their rank from 1."""
     order = Window.partitionBy("qid").orderBy("distance", id)
     return candidates.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("qid", "rank", id, "distance")
 
 
-def top_k_batch(base: DataFrame, queries: DataFrame, k: int, id: str = "id", vector: str = "vector", qid: str = "qid", qv: str = "qv", page: int = PAGE, mask: Callable | None = None, extra: tuple[str, ...] = ()) -> DataFrame:
+def top_k_batch(base: DataFrame, queries: DataFrame, k: int, id: str = "id", vector: str = "vector", qid: str = "qid", qv: str = "qv", page: int = PAGE, mask: Callable | None = None, groups: Callable | None = None, extra: tuple[str, ...] = ()) -> DataFrame:
     """(qid, rank, id, distance): the k nearest rows of `base` (id: a long) for every query.
 
     `mask(batch, query ids)`, if given, says which rows (of a batch that also has the columns `extra`) are
-    candidates of which queries, as a matrix of booleans.
+    candidates of which queries, as a matrix of booleans; `groups(batch, query ids)` says the same as pairs (rows,
+    numbers of queries) that belong together, each of which is one matrix product.
     """
     spark, parts = base.sparkSession, None
     scan = base.select(F.col(id).cast("long").alias("id"), F.col(vector).alias("vector"), *extra)
@@ -120,14 +127,11 @@ def top_k_batch(base: DataFrame, queries: DataFrame, k: int, id: str = "id", vec
                 if not batch.num_rows:
                     continue
                 x, ids = matrix(batch.column("vector")), np.asarray(batch.column("id"))
-                if mask is None:
+                if mask is None and groups is None:
                     best.append(nearest(x, ids, q, k))
-                else:
-                    allowed = mask(batch, q_ids)
-                    for j in np.flatnonzero(allowed.any(axis=0)).tolist():
-                        some = np.flatnonzero(allowed[:, j])
-                        _, own, d = nearest(x[some], ids[some], q[j : j + 1], k)
-                        best.append((np.full(len(own), j), own, d))
+                for some, numbers in groups(batch, q_ids) if groups else by_query(mask(batch, q_ids)) if mask else ():
+                    row, own, d = nearest(x[some], ids[some], q[numbers], k)
+                    best.append((numbers[row], own, d))
                 if best:
                     best = [merge_nearest(best, k)]
             if best:
