@@ -3,16 +3,21 @@
 Fixed masks select some token positions of a stretch and ignore the others, so a stretch with substitutions at
 ignored positions hashes like its original.  The hashes of all stretches of the test items are joined with
 those of every stretch of the training texts; each hit puts a test item alongside a text, and the tokens on
-that diagonal are compared: the stretch with the best score (+1 a match, -4 a substitution, so at least four
-fifths match) counts as an overlap if it has `least` matching tokens, or if the item is shorter, all of it.
+that diagonal are compared: a stretch of which at least four fifths match counts as an overlap if it has `least`
+matching tokens, or four fifths of the item's if those are fewer.  Of such stretches that with the most matches
+is taken.
+
+Every overlap holds a run of equal tokens, since substitutions that are a fifth at most cannot cut it up further:
+of four tokens, but of three for items of 6, 7, 10, 11 and 15 tokens, and two for those of five.  Runs of that length
+are masks too, so no overlap is missed (with the default of `least`).
 
 Tokens are lower-cased words; words that no test item has are unknown and match nothing.  Test items are taken
 in blocks of bounded size, each sent to the executors and joined there as a sorted table of hashes, with one
 pass over the texts a block; so texts are never shuffled, and the size of the test set is not limited.
 
 Edge cases: null or empty texts and items without words overlap with nothing; equal items are all reported; a
-repeated row is reported each time; a null item_id or doc_id is reported as null; items shorter than the masks
-are looked up whole; an empty table on either side gives no overlaps.
+repeated row is reported each time; a null item_id or doc_id is reported as null; items of up to four
+tokens are looked up whole; an empty table on either side gives no overlaps.
 """
 
 from __future__ import annotations
@@ -29,7 +34,9 @@ from nearfield.llm.common import doc_texts
 
 TOKEN = re.compile(r"\w+")
 #: 1: the token counts, 0: it is ignored.
-MASKS = ("1111111", "1101100111", "1110011011", "11001010010111")
+MASKS = ("1111", "1111111", "1101100111", "1110011011", "11001010010111")
+#: Masks of items of a few lengths, whose overlaps may have no run of four.
+SHORT_MASKS = {5: "11", 6: "111", 7: "111", 10: "111", 11: "111", 15: "111"}
 #: Matching tokens of an overlap.
 LEAST = 13
 SUBSTITUTION = 4
@@ -65,6 +72,24 @@ def best_stretch(same: np.ndarray) -> tuple[int, int, int]:
     return begin, end, int(same[begin:end].sum())
 
 
+def fullest_stretch(same: np.ndarray) -> tuple[int, int, int]:
+    """(begin, end, matches) of the stretch with the most matches of which at least four fifths match; the first of equal ones."""
+    total = np.concatenate(([0], np.cumsum(np.where(same, 1, -SUBSTITUTION))))
+    matched = np.concatenate(([0], np.cumsum(same)))
+    # For each end the earliest begin: the first place where the score so far was no higher.
+    begins = np.searchsorted(-np.minimum.accumulate(total), -total, "left")
+    end = int(np.argmax(matched - matched[begins]))
+    begin = int(begins[end])
+    while begin < end and not same[begin]:
+        begin += 1
+    return begin, end, int(matched[end] - matched[begin])
+
+
+def needed(tokens: int, least: int = LEAST) -> int:
+    """The matching tokens that an overlap with an item of so many tokens has at least."""
+    return min(least, -(-SUBSTITUTION * tokens // (SUBSTITUTION + 1)))
+
+
 class TestItems:
     """A block of test items with its table of seed hashes."""
 
@@ -75,14 +100,13 @@ class TestItems:
         kept = [(item, np.array([self.words.setdefault(w, len(self.words) + 1) for w in TOKEN.findall(text.lower())], dtype=np.int64)) for item, text in items]
         kept = [(item, ids) for item, ids in kept if len(ids)]
         self.items, self.ids = [x for x, _ in kept], [x for _, x in kept]
-        shortest = min(map(len, MASKS))
-        whole = {"1" * len(ids) for ids in self.ids if len(ids) < shortest}
-        self.masks = [*MASKS, *sorted(whole)]
+        short = {n: SHORT_MASKS.get(n, "1" * n) for n in {len(ids) for ids in self.ids} if n < len(MASKS[0]) or n in SHORT_MASKS}
+        self.masks = [*MASKS, *sorted(set(short.values()) - set(MASKS))]
         self.tables = []
         for mask in self.masks:
             parts = []
             for number, ids in enumerate(self.ids):
-                if mask in MASKS or len(ids) == len(mask):
+                if mask in MASKS or short.get(len(ids)) == mask:
                     places, hashes = seed_hashes(ids, mask)
                     parts.append((hashes, np.full(len(places), number), places))
             hashes, numbers, places = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.empty(0, np.uint64), *[np.empty(0, np.int64)] * 2)
@@ -110,8 +134,8 @@ class TestItems:
         for number, diagonal in self.hits(ids).tolist():
             item = self.ids[number]
             low, high = max(0, diagonal), min(len(ids), diagonal + len(item))
-            begin, end, matches = best_stretch(ids[low:high] == item[low - diagonal : high - diagonal])
-            if matches >= min(self.least, len(item)) and (number not in best or matches > best[number][2]):
+            begin, end, matches = fullest_stretch(ids[low:high] == item[low - diagonal : high - diagonal])
+            if matches >= needed(len(item), self.least) and (number not in best or matches > best[number][2]):
                 best[number] = (low + begin, end - begin, matches, len(item))
         return [(self.items[number], *x) for number, x in sorted(best.items())]
 
