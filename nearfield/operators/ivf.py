@@ -10,6 +10,7 @@ candidates of the probed cells.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import chain, count
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -20,7 +21,7 @@ from nearfield.operators.topk import pages, top_k, top_k_batch
 
 #: Candidates for each unit of budget, where nothing was measured.
 OVERSAMPLE = 8
-#: Budgets' candidates that `tune` tries, recall it wants, and queries it measures on.
+#: Budgets' candidates that `tune` tries first (it goes on doubling), recall it wants, and queries it measures on.
 TRIED = (1, 2, 4, 8, 12, 16, 24, 32, 48, 64, 96, 128, 256, 512, 1024)
 TARGET = 0.95
 LEARN_QUERIES = 64
@@ -80,9 +81,10 @@ def tune(assigned: DataFrame, cells: Cells, k: int = 10, ef: int = 64, target: f
     truth: dict[int, list[int]] = {}
     for r in top_k_batch(keyed, frame, k, "key", vector).join(keyed.select("key", "cell"), "key").select("qid", "cell").collect():
         truth.setdefault(r.qid, []).append(r.cell)
-    for tried in TRIED:
+    # The last step of all takes every cell, which is exact.
+    for tried in chain(TRIED, (TRIED[-1] << i for i in count(1))):
         found = [np.isin(own, cells.probe(np.array(rows[i][0], np.float64), ef, k, tried)).mean() for i, own in truth.items()]
-        if not found or np.mean(found) >= target:
+        if not found or np.mean(found) >= target or tried * ef >= cells.counts.sum():
             break
     cells.oversample = tried
     return tried

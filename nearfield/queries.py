@@ -377,7 +377,7 @@ def ivf_assign(spark, sf_dir):
 
 def cell_index(spark, sf_dir):
     base = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    ordered, centroids = ivf.build(base, "vec_id", "embedding", cells=32)
+    ordered, centroids = ivf.build(base, "vec_id", "embedding")
     cells = ivf.cells_of(ordered, centroids)
     ivf.tune(ordered, cells, ef=32, id="vec_id", vector="embedding")
     return ordered, cells
