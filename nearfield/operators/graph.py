@@ -42,7 +42,7 @@ def diverse(base: np.ndarray, candidates: np.ndarray, distances: np.ndarray, m:
 
 
 def prune(edges: DataFrame, base: DataFrame, m: int, id: str = "id", vector: str = "vector") -> DataFrame:
-    """(src, dst, distance): each node's edges thinned to m diverse ones.  A node's candidates are few: a search's k."""
+    """(src, dst, distance): each node's edges thinned to m diverse ones.  A node's candidates are gathered: a search's k, and the reverses of those."""
     ends = edges.join(base.select(F.col(id).alias("dst"), F.col(vector).alias("v")), "dst").join(base.select(F.col(id).alias("src"), F.col(vector).alias("b")), "src")
     lists = ends.groupBy("src").agg(F.first("b").alias("b"), F.array_sort(F.collect_list(F.struct("distance", "dst", "v"))).alias("near"))
 
@@ -63,6 +63,4 @@ def proximity_graph(base: DataFrame, m: int, candidates: int, id: str = "id", ve
     """Pruned nearest-neighbour edges with their reverses, 2 m a node at most: a layer-0 graph."""
     forward = prune(knn_graph(base, candidates, id, vector), base, m, id, vector)
     both = forward.union(forward.select("dst", "src", "distance")).dropDuplicates(["src", "dst"])
-    order = Window.partitionBy("src").orderBy("distance", "dst")
-    nearest = both.withColumn("r", F.row_number().over(order)).where(F.col("r") <= 4 * m).drop("r")
-    return prune(nearest, base, 2 * m, id, vector)
+    return prune(both, base, 2 * m, id, vector)

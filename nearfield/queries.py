@@ -306,7 +306,7 @@ def reverse_edges(spark, sf_dir):
 
 @register("proximity_graph")
 def proximity_graph(spark, sf_dir):
-    return rounded(graph.proximity_graph(graph_base(spark, sf_dir), 6, 16, "vec_id", "embedding"))
+    return rounded(graph.proximity_graph(table(spark, sf_dir, "embeddings"), 6, 16, "vec_id", "embedding"))
 
 
 # ---- quantization and cells ----
