@@ -86,7 +86,8 @@ def flat_topk(spark, sf_dir):
 
 @register("topk_k_gt_n", SINGLE.format(where="", limit=""))
 def topk_k_gt_n(spark, sf_dir):
-    found = topk.top_k(table(spark, sf_dir, "embeddings"), vector_of(spark, sf_dir, 0), 1_000_000, "vec_id", "embedding")
+    base = table(spark, sf_dir, "embeddings")
+    found = topk.top_k(base, vector_of(spark, sf_dir, 0), base.count() + 1, "vec_id", "embedding")
     return rounded(found.select("vec_id", "distance"))
 
 
