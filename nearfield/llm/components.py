@@ -37,4 +37,4 @@ def connected_components(links: DataFrame) -> DataFrame:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())
         before, last = state, edges
         edges = materialize(small_star(large_star(last)), "links")
-        drop_scratch(last.sparkSession, last)
+        drop_scratch(last)

@@ -25,7 +25,8 @@ def tokenizer_path() -> str:
 
 
 def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    found = repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", F.make_valid_utf8(F.col("kept").cast("string")).alias("kept"))
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,19 +6,20 @@ segment's windows contain its core, and differ only in up to 63 bytes on either
 
 1. Anchors of all windows, one row for each run of windows with the same anchor.
 2. Anchors whose string occurs once are dropped; segments of the others are cut out of the texts.
-3. Equal segments are counted.  A core that always has the same flanks needs no more: its windows repeat if
-   the segment does.
+3. Equal segments are counted, and one of them stands for all.  A core that always has the same flanks has one
+   context, so there is nothing to order: its windows repeat if the segment does.
 4. Other cores: flanks are written as 8-byte symbols around one symbol for the core, all contexts of a run of
    cores go into one string, and its suffix array (by linear grouping) brings equal runs of symbols together;
    the up to seven bytes at the ends of each window are then compared exactly.
 5. The windows found are united per document and their bytes removed.
 
-Hot anchors: only counts, minima and joins see them until equal segments have become one row.  A core with
-more than `crowd` different flanks is not gathered: its windows are counted by hash instead.
+Hot anchors: only counts, minima and joins see them until equal segments have become one row; the flanks of that
+row are fetched by the number of the segment, so no join meets a hot core.  A core with more than `crowd` different
+flanks is not gathered: its windows are counted by hash instead.
 
 Edge cases: null text is empty; texts shorter than a window keep everything; repeated rows are documents of
-their own and so lose all their windows; rows with a null doc_id are treated like others; an empty table
-gives no rows.
+their own and so lose all their windows (what is known of a text is kept once for all its rows); rows with a null
+doc_id are treated like others; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
-from nearfield.llm.common import materialize, partitions, raw_bytes, slices
+from nearfield.llm.common import drop_scratch, materialize, partitions, raw_bytes, slices
 from nearfield.llm.suffix_array import suffix_array
 
 WIDTH = 400
@@ -127,7 +128,7 @@ def segments_of(text: bytes, runs: list[tuple[int, int, int]], width: int = WIDT
 
 
 def segment_table(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """(doc, version, place, core, context, valid, left, right) of the windows whose anchors repeat."""
+    """(segment, doc, version, place, core, context, valid, left, right) of the windows whose anchors repeat; `segment` numbers the rows."""
     schema = "doc long, version long, place int, core binary, context long, valid long, left binary, right binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,7 +142,8 @@ def segment_table(docs: DataFrame, spans: DataFrame) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["doc", "version", "place", "core", "context", "valid", "left", "right"])
 
-    return docs.join(spans, ["doc", "version"]).select("doc", "version", "text", "runs").mapInArrow(run, schema)
+    found = docs.join(spans, ["doc", "version"]).select("doc", "version", "text", "runs").mapInArrow(run, schema)
+    return found.select(F.monotonically_increasing_id().alias("segment"), *found.columns)
 
 
 def pad(flanks: list[bytes], reverse: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -232,15 +234,17 @@ def counted(rows: DataFrame) -> DataFrame:
 
 def repeated_segments(segments: DataFrame, crowd: int = CROWD) -> DataFrame:
     """(core, context, mask) of every segment with windows that occur elsewhere."""
-    distinct = materialize(segments.groupBy("core", "context").agg(F.count("*").alias("times"), F.max("valid").alias("valid")), "contexts")
+    same = [F.count("*").alias("times"), F.max("valid").alias("valid"), F.min("segment").alias("segment")]
+    distinct = materialize(segments.groupBy("core", "context").agg(*same), "contexts")
     cores = materialize(distinct.groupBy("core").agg(F.count("*").alias("flanks"), F.max("times").alias("most")).where("flanks > 1 or most > 1"), "cores")
     known = distinct.join(cores, "core")
     alone = known.where("flanks = 1").select("core", "context", F.col("valid").alias("mask"))
-    various = known.where("flanks > 1").select("core", "context", "times", "flanks")
-    one = segments.join(various, ["core", "context"]).groupBy("core", "context").agg(*(F.first(c).alias(c) for c in ("left", "right", "times", "flanks")))
-    one = materialize(one, "flanks")
+    various = known.where("flanks > 1").select("segment", "core", "context", "times", "flanks")
+    one = materialize(various.join(segments.select("segment", "left", "right"), "segment").drop("segment"), "flanks")
     few = one.where(F.col("flanks") <= crowd).repartition(partitions(segments.sparkSession), "core").sortWithinPartitions("core")
-    return alone.union(arrayed(few)).union(counted(one.where(F.col("flanks") > crowd)))
+    found = materialize(alone.union(arrayed(few)).union(counted(one.where(F.col("flanks") > crowd))), "windows")
+    drop_scratch(distinct, cores, one)
+    return found
 
 
 def remove(docs: DataFrame, windows: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -281,9 +285,11 @@ def remove_repeats(documents: DataFrame, crowd: int = CROWD) -> DataFrame:
     docs = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), F.coalesce("text", F.lit("")).alias("text")).withColumn("version", F.xxhash64("text"))
     anchors = materialize(anchor_table(docs), "anchors")
     repeated = materialize(anchors.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "repeated")
-    spans = anchors.join(repeated, "key", "left_semi").groupBy("doc", "version").agg(F.collect_list(F.struct("anchor", "low", "high")).alias("runs"))
+    # Sets, not lists: equal rows share one entry, however many they are.
+    spans = anchors.join(repeated, "key", "left_semi").groupBy("doc", "version").agg(F.collect_set(F.struct("anchor", "low", "high")).alias("runs"))
     segments = materialize(segment_table(docs, spans), "segments")
+    drop_scratch(anchors, repeated)
     found = repeated_segments(segments, crowd)
     windows = segments.select("doc", "version", "place", "core", "context").join(found, ["core", "context"])
-    windows = windows.groupBy("doc", "version").agg(F.collect_list(F.struct("place", "mask")).alias("windows"))
+    windows = windows.groupBy("doc", "version").agg(F.collect_set(F.struct("place", "mask")).alias("windows"))
     return remove(docs, windows)

@@ -45,6 +45,20 @@ def test_repeats(docs, rows, crowd):
     assert sum(w[2] > 0 for w in want) > 8
 
 
+def test_repeats_of_equal_rows(spark):
+    """A thousand rows that are equal, doc_id included, some hundred with a null doc_id, and one that shares a part."""
+    rng = random.Random(4)
+    text = "".join(rng.choice("abcdefgh ") for _ in range(1500))
+    rows = [(7, text, None)] * 1000 + [(None, text, None)] * 100 + [(8, "before " + text[300:900] + " after", None), (9, text[:399], None)]
+    got = repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    by_id = {r.doc_id: tuple(r)[1:5] for r in got.collect()}
+    empty = hashlib.sha256(b"").hexdigest()
+    assert got.count() == 1102
+    assert by_id[7] == by_id[None] == (1500, 1500, 1, empty)
+    assert by_id[8] == (613, 600, 1, hashlib.sha256(b"before  after").hexdigest())
+    assert by_id[9][1:3] == (0, 0)
+
+
 def test_repeats_across_edits(spark):
     """Windows whose flanks differ, at every distance from an edit."""
     rng = random.Random(8)
