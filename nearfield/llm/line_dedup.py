@@ -87,8 +87,15 @@ def lost_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, n_batche
 
 
 def kept_text(text: Column, dropped: Column) -> Column:
-    """The text without the lines at these positions; all of it where dropped is null."""
-    return F.when(dropped.isNull(), text).otherwise(F.array_join(F.filter(F.split(text, "\n", -1), lambda line, i: ~F.array_contains(dropped, i)), "\n"))
+    """The text without the lines at these positions; all of it where dropped is null.
+
+    The positions that stay are a set difference, and each line is then taken by its position, so the time follows
+    the number of lines.  The array of one struct binds the split text, which would be split anew for each line.
+    """
+    lines = F.split(text, "\n", -1)
+    parts = F.array(F.struct(lines.alias("lines"), F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), dropped).alias("stay")))
+    joined = F.transform(parts, lambda x: F.array_join(F.transform(x["stay"], lambda i: F.get(x["lines"], i)), "\n"))
+    return F.when(dropped.isNull(), text).otherwise(joined[0])
 
 
 def line_dedup(documents: DataFrame, **limits) -> DataFrame:
