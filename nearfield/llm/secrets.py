@@ -1,11 +1,16 @@
 r"""Secret scans with multipart credential linking.
 
 Strong patterns stand on their own: assignments of passwords and keys, access key identifiers and long hex
-runs.  Weak parts mean nothing alone: account identifiers (`user=...`), opaque secrets (mixed tokens of 20
-characters or more) and endpoints (URLs, host names with a port).  Weak parts of a text are interval-joined
-within a scope of `reach` code points: sorted by start, each is matched by binary search with the parts whose
-start lies in reach of its end.  A weak secret is reported when an identifier or an endpoint is in reach, and
-an identifier or endpoint when a secret, weak or strong, is; otherwise nothing is reported.
+runs.  Weak parts mean nothing alone: account identifiers (`user=...`), opaque secrets (tokens of 20 characters
+or more that look random) and endpoints (URLs, host names with a port).  Weak parts of a text are interval-joined
+within scopes: a part's scope is the other lines of its paragraph (between two blank lines, as of a section of a
+configuration file), and `reach` code points on either side of the part, in long lines and beyond the paragraph.
+Parts sorted by start are matched by binary search with those that meet their scope.  A weak secret is reported when an identifier or
+an endpoint is in its scope, and an identifier or endpoint when a secret, weak or strong, is; otherwise nothing
+is reported.
+
+All patterns take time in proportion to the text: a host name is looked for once in each run of its
+characters, a scheme has at most 16 characters.
 
 Edge cases: null text is empty; empty text has no spans; a span of a weak part that overlaps a strong span is
 not reported twice; repeated rows are scanned each; other columns are ignored.
@@ -14,8 +19,10 @@ not reported twice; repeated rows are scanned each; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -31,8 +38,14 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 SIGNS = ("passw", "secret", "token", "apikey", "api_key")
 IDENT = re.compile(r"""\b(?:user(?:_?name)?|login|account|client_?id|key_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,})""", re.IGNORECASE | re.ASCII)
 WEAK = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}(?![A-Za-z0-9+/_=-])")
-ENDPOINT = re.compile(r"""\b(?:[a-z][a-z0-9+.-]{1,15}://[^\s"'<>]+|[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+:\d{2,5}\b)""")
+#: A URL, or a whole run of the characters of host names with a port behind it.
+ENDPOINT = re.compile(r"""\b[a-z][a-z0-9+.-]{1,15}://[^\s"'<>]+|(?<![A-Za-z0-9.-])(?P<host>[A-Za-z0-9.-]++):\d{2,5}\b""")
+BLANK_LINE = re.compile(r"\n[\x20\t\r]*\n")
 REACH = 200
+#: Bits a character of tokens that look random: those of 20 characters or more have about 3.7 or more.
+ENTROPY = 3.5
+#: Changes between letters and digits in a token that looks random.
+SWITCHES = 3
 
 Span = tuple[int, int, str]
 
@@ -50,8 +63,50 @@ def base_spans(text: str) -> list[Span]:
 
 
 def looks_random(token: str) -> bool:
-    """Digits, capitals and small letters, as words and numbers hardly have them together."""
-    return any(c.isdigit() for c in token) and any(c.isupper() for c in token) and any(c.islower() for c in token)
+    """Digits, capitals and small letters together, or letters and digits that change often and hardly repeat."""
+    digits = [c.isdigit() for c in token]
+    if not any(digits):
+        return False
+    if any(map(str.isupper, token)) and any(map(str.islower, token)):
+        return True
+    if sum(a != b for a, b in zip(digits, digits[1:], strict=False)) < SWITCHES:
+        return False
+    shares = [n / len(token) for n in Counter(token).values()]
+    return -sum(p * math.log2(p) for p in shares) >= ENTROPY
+
+
+def endpoints(text: str) -> list[Span]:
+    """URLs, and host names of at least two labels with a port."""
+    found: list[Span] = []
+    for m in ENDPOINT.finditer(text):
+        start = m.start()
+        if (host := m["host"]) is not None:
+            # The name is what follows the last empty label.
+            start += host.rfind("..") + 2 if ".." in host else 0
+            while start < m.end("host") and text[start] in ".-":
+                start += 1
+            name = text[start : m.end("host")]
+            if "." not in name or name.endswith("."):
+                continue
+        found.append((start, m.end(), "endpoint"))
+    return found
+
+
+def scopes(text: str, parts: list[Span], reach: int) -> list[tuple[Span, Span, Span]]:
+    """The scope of each part as intervals: earlier lines of its paragraph, `reach` code points around it, later lines."""
+    if not parts:
+        return []
+    breaks = [m.span() for m in BLANK_LINE.finditer(text)]
+    ends, starts = [a for a, _ in breaks] + [len(text)], [0] + [b for _, b in breaks]
+    lines = [m.start() for m in re.finditer("\n", text)]
+    found = []
+    for begin, end, kind in parts:
+        low, high = starts[max(0, bisect_right(starts, begin) - 1)], ends[min(len(ends) - 1, bisect_left(ends, end))]
+        before, after = bisect_left(lines, begin), bisect_left(lines, end)
+        earlier = (low, lines[before - 1], kind) if before and lines[before - 1] >= low else (begin, begin, kind)
+        later = (lines[after] + 1, high, kind) if after < len(lines) and lines[after] < high else (end, end, kind)
+        found.append((earlier, (begin - reach, end + reach, kind), later))
+    return found
 
 
 def in_reach(part: Span, others: list[Span], starts: list[int], ends: list[int], reach: int) -> bool:
@@ -65,7 +120,7 @@ def linked_spans(text: str, base: list[Span], reach: int = REACH) -> list[Span]:
     parts: dict[str, list[Span]] = {"ident": [], "secret": [], "endpoint": []}
     if "://" in text or ":" in text or "=" in text:
         parts["ident"] = [(*m.span(), "ident") for m in IDENT.finditer(text)]
-        parts["endpoint"] = [(*m.span(), "endpoint") for m in ENDPOINT.finditer(text)]
+        parts["endpoint"] = endpoints(text)
     secrets = sorted(x for x in base if x[2] != "access")
     names = sorted([x for x in base if x[2] == "access"] + parts["ident"] + parts["endpoint"])
     if not names and not secrets:
@@ -80,7 +135,7 @@ def linked_spans(text: str, base: list[Span], reach: int = REACH) -> list[Span]:
     found = []
     for wanted, mine in ((names, parts["secret"]), (secrets, parts["ident"] + parts["endpoint"])):
         starts, ends = sweep(wanted)
-        found += [x for x in mine if in_reach(x, wanted, starts, ends, reach)]
+        found += [x for x, scope in zip(mine, scopes(text, mine, reach), strict=True) if any(in_reach(part, wanted, starts, ends, 0) for part in scope)]
     return found
 
 
