@@ -6,7 +6,7 @@ out-of-place distance: the sum of the differences in rank, and the largest diffe
 missing.  The nearest profile wins; equal distances go to the language that sorts first.
 
 N-grams are 63-bit integers made of up to three code points, so counting is sorting; a very long text is
-counted in chunks that are merged.  Training counts are summed per task, then per (language, n-gram).
+counted in chunks that are merged, each with the two letters before it, so that chunks may end anywhere.  Training counts are summed per task, then per (language, n-gram).
 
 Edge cases: null text, or text without a letter, is `und` with score 0, as is every text when nothing was
 learned; rows with null lang or null doc_id teach nothing; repeated rows count as often as they occur.
@@ -58,28 +58,25 @@ def merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nd
 
 
 def chunk_grams(letters: np.ndarray) -> np.ndarray:
-    """The n-gram codes of an array of letters and spaces that begins and ends with a space."""
+    """The codes of the n-grams that end at the third or a later place of an array of letters and spaces."""
     a, b, c = letters[:-2], letters[1:-1], letters[2:]
-    inner = b != SPACE
-    two = (a << np.uint64(21)) | b
-    last = (letters[-2] << np.uint64(21)) | letters[-1]
-    return np.concatenate((b[inner], two[inner | (a != SPACE)], [last] if letters[-2] != SPACE else [], ((two << np.uint64(21)) | c)[inner])).astype(np.uint64)
+    two = (b << np.uint64(21)) | c
+    three = (a << np.uint64(42)) | two
+    return np.concatenate((c[c != SPACE], two[(b != SPACE) | (c != SPACE)], three[b != SPACE]))
 
 
 def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
     """All n-grams of a text, sorted, with their counts; both empty if it has no letter."""
-    table, parts, begin = letter_table(), [], 0
-    while begin < len(text):
-        end = min(len(text), begin + CHUNK)
-        while end < len(text) and end - begin < 2 * CHUNK and text[end].isalpha():  # not within a word
-            end += 1
-        points = np.frombuffer(text[begin:end].encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        letters = np.concatenate(([SPACE], table[points], [SPACE])).astype(np.uint64)
+    table, parts, last = letter_table(), [], np.full(2, SPACE, np.uint64)
+    for begin in range(0, len(text), CHUNK):
+        points = np.frombuffer(text[begin : begin + CHUNK].encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        end = np.full(int(begin + CHUNK >= len(text)), SPACE, np.uint64)
+        letters = np.concatenate((last, table[points], end))
+        last = letters[-2:]
         grams = chunk_grams(letters)
         if len(grams):
             grams.sort()
             parts.append(run_lengths(grams))
-        begin = end
     if not parts:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
     return parts[0] if len(parts) == 1 else merge(parts)
