@@ -1,6 +1,8 @@
 import hashlib
 import random
 import re
+import time
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -29,8 +31,7 @@ def test_gram_counts(monkeypatch):
         monkeypatch.setattr(language_id, "CHUNK", chunk)
         for text in ("Hello, wörld of 2 words!", "a", " ", "", "x" * 300, "日本 e"):
             codes, counts = language_id.gram_counts(text)
-            if chunk > 5 or len(text) < 100:
-                assert dict(zip(codes.tolist(), counts.tolist(), strict=True)) == brute(text)
+            assert dict(zip(codes.tolist(), counts.tolist(), strict=True)) == brute(text)
 
 
 def test_language(spark, docs, none, rows):
@@ -93,6 +94,31 @@ def test_linking():
     assert kinds("user=alice" + " " * 300 + weak) == [] and kinds("user=alice" + " " * 300 + weak, 400) == ["ident", "secret"]
 
 
+def test_scopes():
+    """Parts on other lines of a paragraph complete each other, those of another paragraph only in reach."""
+    weak, far = "k3j9x2m7q1w8e5r4t6y0u2i9", "# " + "a comment that goes on\n# " * 20
+    kinds = lambda t: sorted(k for _, _, k in secrets.linked_spans(t, secrets.base_spans(t)))
+    assert kinds(f"[db]\nuser = alice\n{far}\nkey: {weak}\n") == ["ident", "secret"]
+    assert kinds(f"[db]\nuser = alice\n{far}\n \t\nkey: {weak}\n") == []
+    assert kinds(f"user=alice\n\n{weak}") == ["ident", "secret"]
+    assert kinds(f"db.example.com:5432\n{weak}") == ["endpoint", "secret"]
+    for token in ("internationalizationally", "g" * 30 + "1", "release-notes-of-version-12", "ghijklmnopqrstuvwxyzghij"):
+        assert kinds(f"user=alice {token}") == [], token
+
+
+def test_endpoints():
+    ends = lambda t: [t[a:b] for a, b, _ in secrets.endpoints(t)]
+    assert ends("see https://a.b/c?d=1, db.example.com:5432 and ..x.y:80 or -a.b:81") == ["https://a.b/c?d=1,", "db.example.com:5432", "x.y:80", "a.b:81"]
+    assert ends("localhost:80 a.b:1 a.b:123456 .:80 a.:80 10:30") == []
+
+
+@pytest.mark.parametrize("text", ["a-" * 1_000_000, "a." * 1_000_000, "a" * 2_000_000, "a://" * 500_000, "user=a1 " * 250_000, "token " * 300_000, "\n \n" * 600_000, "k3j9x2m7q1w8e5r4t6y0u2i9 a.b:80 " * 60_000])
+def test_secrets_of_long_texts(text):
+    begin = time.perf_counter()
+    secrets.linked_spans(text, secrets.base_spans(text))
+    assert time.perf_counter() - begin < 20
+
+
 def test_linking_brute_force():
     rng = random.Random(1)
     for _ in range(200):
@@ -134,13 +160,53 @@ def test_decontaminate(spark, docs, none, rows):
     assert decontaminate.clean(docs, bench).schema == docs.schema and decontaminate.clean(docs, bench).count() == len(rows)
 
 
-def test_best_stretch():
-    for _ in range(200):
-        same = np.array([random.random() < 0.7 for _ in range(random.randint(1, 20))])
-        score = lambda a, b: sum(1 if s else -4 for s in same[a:b])
-        begin, end, matches = decontaminate.best_stretch(same)
-        assert score(begin, end) == max(score(a, b) for a in range(len(same) + 1) for b in range(a, len(same) + 1))
-        assert matches == same[begin:end].sum()
+def naive_overlaps(text, items, least):
+    """Every stretch of every diagonal: the most matches of a stretch of which four fifths match, for each item."""
+    found = {}
+    for name, item in items:
+        most = 0
+        for diagonal in range(1 - len(item), len(text)):
+            same = [a == b for a, b in zip(text[max(0, diagonal) :], item[max(0, -diagonal) :], strict=False)]
+            for a in range(len(same)):
+                for b in range(a + 1, len(same) + 1):
+                    matches = sum(same[a:b])
+                    if 5 * matches >= 4 * (b - a):
+                        most = max(most, matches)
+        if item and most >= min(least, -(-4 * len(item) // 5)):
+            found[name] = most
+    return found
+
+
+def test_overlaps_brute_force():
+    """All diagonals of small texts over few words, where seeds repeat much."""
+    for seed in range(60):
+        rng = random.Random(seed)
+        words = [f"w{i}" for i in range(rng.choice([1, 2, 3, 30]))]
+        items = [(i, [rng.choice(words) for _ in range(rng.randint(0, 22))]) for i in range(4)]
+        text = [rng.choice([*words, "unknown"]) for _ in range(rng.randint(0, 25))]
+        if seed % 3 == 0:
+            text[3:3] = items[0][1]
+            if len(text) > 8:
+                text[7] = "other"
+        block = decontaminate.TestItems([(i, " ".join(w)) for i, w in items])
+        got = block.overlaps(" ".join(text))
+        assert {x[0]: x[3] for x in got} == naive_overlaps(text, items, decontaminate.LEAST), seed
+        assert block.overlap(" ".join(text)) == bool(got)
+        for name, start, n, matches, size in got:
+            item = dict(items)[name]
+            assert size == len(item) and 0 <= start <= start + n <= len(text) and 5 * matches >= 4 * n
+
+
+def test_overlaps_of_repeated_words():
+    """A text and an item of one word: a run of hits for each diagonal, so memory follows the length."""
+    n = 3000
+    block = decontaminate.TestItems([(1, "na " * n), (2, "ab cd " * n)])
+    tracemalloc.start()
+    assert block.overlaps("na " * n) == [(1, 0, n, n, n)]
+    assert block.overlaps("x " + "ab cd " * n) == [(2, 1, 2 * n, 2 * n, 2 * n)]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 60 << 20
 
 
 def test_quality(spark, docs, none, rows):
