@@ -1,10 +1,16 @@
 """Packing of token pieces into sequences by exact-complement hashing, then best fit.
 
 The plan is made on the counts of piece lengths (as many as the capacity), so its size does not depend on the
-corpus.  For each length, longest first, the gap it leaves in a sequence is looked up in the index of single
-lengths, of pair sums and of triple sums, restricted to lengths with pieces left; a combination that fills
-the gap exactly is consumed as often as its counts allow.  What is left is packed best fit, longest first:
-into the open sequences with the smallest gap that takes the length, all equal pieces at once.
+corpus.  An index holds, for each sum up to the capacity, the single length, the pairs and the triples of lengths that
+add up to it; entries are made when a sum is first asked for and are left behind once their pieces are used up.  For
+each length, longest first, the gap it leaves in a sequence is looked up among single lengths, pair sums and
+triple sums; a combination with pieces left that fills the gap exactly is consumed as often as its counts allow.
+What is left is packed best fit, longest first: into the open sequences with the smallest gap that takes the
+length, all equal pieces at once.
+
+Filling gaps with single lengths never costs a sequence, since an optimal packing with that pair exists.  Pairs and
+triples use up short pieces that the residuals may need more; so plans with complements of up to one, two and three
+pieces are made, and the one with the fewest sequences is taken.
 
 A pattern is a list of lengths and the number of sequences so filled.  Pieces of one length are numbered
 0, 1, 2, ... across the corpus (numbers within hash buckets of doc_id plus the counts of the buckets before)
@@ -18,6 +24,7 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_left, insort
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,47 +45,82 @@ class Pattern:
     times: int
 
 
-def pair_for(gap: int, left: np.ndarray) -> tuple[int, int] | None:
-    """Two lengths with pieces left whose sum is gap, the longer one as long as can be."""
-    a = np.arange(1, gap // 2 + 1)
-    fit = np.flatnonzero((left[a] > 0) & (left[gap - a] > np.where(2 * a == gap, 1, 0)))
-    return (int(gap - a[fit[0]]), int(a[fit[0]])) if len(fit) else None
-
-
-def triple_for(gap: int, left: np.ndarray) -> tuple[int, int, int] | None:
-    """Three lengths with pieces left whose sum is gap."""
-    for a in np.flatnonzero(left[: gap - 1])[::-1].tolist():
-        if 3 * a < gap:
-            break
-        left[a] -= 1
-        pair = pair_for(gap - a, left)
-        left[a] += 1
-        if pair:
-            return a, *pair
-    return None
-
-
-def complements(left: np.ndarray, capacity: int) -> list[Pattern]:
-    """Sequences filled exactly by two to four pieces; `left` (count of each length) is reduced."""
-    patterns = []
-    for length in range(capacity, 0, -1):
-        gap = capacity - length
-        while left[length]:
-            left[length] -= 1
-            if gap == 0:
-                found: tuple[int, ...] | None = ()
-            elif left[gap] > 0:
-                found = (gap,)
-            else:
-                found = pair_for(gap, left) or triple_for(gap, left)
-            left[length] += 1
-            if found is None:
-                break
+class SumIndex:
+    """Single, pair and triple sums of the lengths with pieces left.
+
+    `left` holds the count of each length and only goes down.  For each sum the larger member of its pairs and the
+    largest of its triples are listed, longest first, with a mark behind those that are used up for good.
+    """
+
+    def __init__(self, left: np.ndarray):
+        self.left = left
+        self.lengths = np.flatnonzero(left)[::-1]
+        self.pairs: dict[int, list] = {}
+        self.triples: dict[int, list] = {}
+
+    def listed(self, index: dict[int, list], total: int, share: int) -> list:
+        """[members, mark] for a sum: the lengths of at least a `share`-th of it and below it, longest first."""
+        if total not in index:
+            some = self.lengths[(share * self.lengths >= total) & (self.lengths < total)]
+            if share == 2:
+                some = some[self.left[total - some] > 0]
+            index[total] = [some.tolist(), 0]
+        return index[total]
+
+    def single(self, total: int) -> tuple[int, ...] | None:
+        return (total,) if self.left[total] > 0 else None
+
+    def pair(self, total: int, taken: tuple[int, ...] = ()) -> tuple[int, ...] | None:
+        """Two lengths of that sum with pieces left besides those taken."""
+        if total < 2:
+            return None
+        entry, left = self.listed(self.pairs, total, 2), self.left
+        members = entry[0]
+        for at in range(entry[1], len(members)):
+            a, b = members[at], total - members[at]
+            twice = int(a == b)
+            if left[a] <= twice or left[b] < 1:
+                if at == entry[1]:
+                    entry[1] += 1
+            elif left[a] - taken.count(a) > twice and left[b] - taken.count(b) > 0:
+                return a, b
+        return None
+
+    def triple(self, total: int, taken: tuple[int, ...] = ()) -> tuple[int, ...] | None:
+        """Three lengths of that sum with pieces left besides those taken."""
+        if total < 3:
+            return None
+        entry, left = self.listed(self.triples, total, 3), self.left
+        members = entry[0]
+        for at in range(entry[1], len(members)):
+            a = members[at]
+            rest = self.listed(self.pairs, total - a, 2) if total - a > 1 else None
+            if left[a] < 1 or rest is None or rest[1] == len(rest[0]):
+                if at == entry[1]:
+                    entry[1] += 1
+            elif left[a] > taken.count(a) and (found := self.pair(total - a, (*taken, a))):
+                return a, *found
+        return None
+
+    def fill(self, gap: int, length: int, most: int) -> tuple[int, ...] | None:
+        """Up to `most` lengths that fill the gap beside one piece of `length`."""
+        if gap == 0:
+            return ()
+        if most > 0 and self.left[gap] > int(gap == length):
+            return (gap,)
+        return (self.pair(gap, (length,)) if most > 1 else None) or (self.triple(gap, (length,)) if most > 2 else None)
+
+
+def complements(left: np.ndarray, capacity: int, most: int = 3) -> list[Pattern]:
+    """Sequences filled exactly by a piece and up to `most` others; `left` (count of each length) is reduced."""
+    patterns, index = [], SumIndex(left)
+    for length in np.flatnonzero(left)[::-1].tolist():
+        while left[length] and (found := index.fill(capacity - length, length, most)) is not None:
             lengths = (length, *found)
-            need = np.bincount(lengths, minlength=len(left))
-            own = np.flatnonzero(need)
-            times = int((left[own] // need[own]).min())
-            left -= times * need
+            need = Counter(lengths)
+            times = min(int(left[x]) // n for x, n in need.items())
+            for x, n in need.items():
+                left[x] -= times * n
             patterns.append(Pattern(lengths, times))
     return patterns
 
@@ -126,17 +168,14 @@ def best_fit(left: np.ndarray, capacity: int) -> list[Pattern]:
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[Pattern]:
-    """Patterns that use every piece of the counted lengths exactly once.
-
-    Where few lengths occur, exact fillings can use up the short pieces that best fit alone would have needed
-    more; then the plan of best fit alone is taken, if it has fewer sequences.
-    """
-    left = np.zeros(capacity + 1, dtype=np.int64)
-    for length, n in counts.items():
-        left[length] = n
-    plain = best_fit(left.copy(), capacity)
-    exact = complements(left, capacity) + best_fit(left, capacity)
-    return min(exact, plain, key=lambda patterns: sum(p.times for p in patterns))
+    """Patterns that use every piece of the counted lengths exactly once: the shortest of the plans with complements of up to one, two and three pieces."""
+    plans = []
+    for most in (3, 2, 1):
+        left = np.zeros(capacity + 1, dtype=np.int64)
+        for length, n in counts.items():
+            left[length] = n
+        plans.append(complements(left, capacity, most) + best_fit(left, capacity))
+    return min(plans, key=lambda patterns: sum(p.times for p in patterns))
 
 
 def places(patterns: list[Pattern]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
