@@ -4,10 +4,16 @@ The tokenizer splits a text into words and encodes each by itself.  For texts of
 signs the split is done here and only words not yet in the cache go to the library's model; any other text
 goes to the library whole.  The ids are the library's either way.  The library's own threads stay off: tasks
 are the parallelism, and for a few words at a time its threads cost more than the words.
+
+The split made here is that of one kind of tokenizer file.  A file with another normalizer, pre-tokenizer, model or
+other special tokens is recognised when it is loaded, and all texts go to the library whole.
+
+Edge cases: an empty text has no ids; callers turn null into the empty text; a text of any length is encoded whole.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
@@ -22,6 +28,10 @@ END_ID = 1
 PLAIN = bytes([9, 10, 13, *range(0x20, 0x7F), 0xC3, *range(0x80, 0xC0)])
 UNSAFE = re.compile("[^\t\n\r\x20-\x7eÀ-ÿ‐-‧]")
 WORD = re.compile(r"[^\W\d_]+|'(?:s|t|re|ve|m|ll|d)|\d|(?:[^\s\w]|_)+")
+#: The steps of the tokenizer files whose split is made here.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
 #: Words in the cache of one worker: under 300 MB.
 CACHE_WORDS = 1_000_000
 
@@ -31,6 +41,19 @@ def is_plain(text: str) -> bool:
     return "<|" not in text and (not text.encode("utf-8", "surrogatepass").translate(None, PLAIN) or not UNSAFE.search(text))
 
 
+def splits_by_words(whole) -> bool:
+    """Whether this module's split and lower-casing are those of the tokenizer."""
+    steps = json.loads(whole.to_str())
+    model = steps["model"]
+    return (
+        steps["normalizer"] == NORMALIZER
+        and steps["pre_tokenizer"] == {"type": "Sequence", "pretokenizers": [SPLIT, BYTES]}
+        and model["type"] == "BPE"
+        and not model.get("dropout")
+        and all(token["content"].startswith("<|") for token in steps["added_tokens"])
+    )
+
+
 class Words(dict):
     """The ids of words as bytes (unsigned 32-bit integers), encoded at their first use."""
 
@@ -58,11 +81,11 @@ class WordTokenizer:
 
         self.whole = Tokenizer.from_file(path)
         self.cache_words = cache_words
-        self.known = Words(self.whole)
+        self.known = Words(self.whole) if splits_by_words(self.whole) else None
 
     def ids(self, text: str) -> np.ndarray:
         """The ids of `text` without special tokens, as unsigned 32-bit integers."""
-        if not is_plain(text):
+        if self.known is None or not is_plain(text):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
         parts = []
         for begin, end in cuts(text):

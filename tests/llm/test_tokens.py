@@ -1,5 +1,7 @@
 import random
 import zlib
+from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -28,6 +30,24 @@ def test_words_equal_whole(rows, ids):
     assert [("ab cd ef"[a:b]) for a, b in tokens.cuts("ab cd ef", 3)] == ["ab cd", " ef"]
 
 
+def test_other_file(rows):
+    """A file whose split is another goes to the library whole."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    words = tokens.WordTokenizer(path)
+    assert words.known is None
+    for _, text, _ in rows:
+        assert words.ids(text or "").tolist() == words.whole.encode(text or "", add_special_tokens=False).ids
+
+
+def test_long_text():
+    """Texts that are cut into several chunks here."""
+    rng = random.Random(3)
+    words = tokens.WordTokenizer(PATH)
+    for text in (" ".join(rng.choice(["it's", "plain", "Text,", "of", "42", "words\n"]) for _ in range(500_000)), "x" * (3 << 19) + " y" + "z1" * (1 << 20)):
+        assert len(tokens.cuts(text)) > 1
+        assert words.ids(text).tolist() == words.whole.encode(text, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("values", [[0], [5] * 700, list(range(1024)), [2**32 - 1, 0], [1, 2, 3, 2**31, 9, 9, 9, 9, 9, 9, 9]])
 def test_block(values):
     data = np.array(values, np.uint32)
@@ -112,6 +132,35 @@ def test_plan():
     assert all(sum(p.lengths) == 10 for p in exact) and sum(p.times for p in exact) == 8
 
 
+def test_sum_index():
+    """What the index finds, against all combinations, while pieces are used up."""
+    rng = random.Random(9)
+    for _ in range(60):
+        left = np.zeros(41, np.int64)
+        for _ in range(rng.randint(1, 12)):
+            left[rng.randint(1, 40)] = rng.randint(1, 3)
+        index = packing.SumIndex(left)
+        while left.any():
+            length = rng.choice(np.flatnonzero(left).tolist())
+            for most in (1, 2, 3):
+                gap = 40 - length
+                pieces = Counter({n: int(left[n]) for n in np.flatnonzero(left).tolist()})
+                pieces[length] -= 1
+                own = list(pieces.elements())
+                possible = gap == 0 or any(sum(some) == gap for n in range(1, most + 1) for some in combinations(own, n))
+                found = index.fill(gap, length, most)
+                assert (found is not None) == possible
+                if found is not None:
+                    assert sum(found) == gap and len(found) <= most and not Counter(found) - pieces
+            left[rng.choice(np.flatnonzero(left).tolist())] -= 1
+
+
+def test_plan_is_exact():
+    """Complements fill what they can: with all sums at hand no sequence of the plan has a gap."""
+    for counts in ({5: 4, 3: 4, 2: 4}, {9: 3, 1: 3}, {6: 2, 2: 4}, {4: 3, 3: 6}):
+        assert all(sum(p.lengths) == 10 for p in packing.plan(dict(counts), 10))
+
+
 def test_place_numbers():
     found = packing.places([packing.Pattern((3, 3, 4), 2), packing.Pattern((3,), 1)])
     assert [x.tolist() for x in found[3]] == [[0, 2, 4], [0, 0, 2], [0, 3, 0]] and [x.tolist() for x in found[4]] == [[0], [0], [6]]
