@@ -1,17 +1,19 @@
-"""Attribute statistics, computed with one aggregation and one grouping per attribute that needs frequencies."""
+"""Attribute statistics: one aggregation, one sort of all numbers, and one grouping per attribute that needs frequencies."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.functions.filters import BOOL, NUM, STR, frequency_key
+from nearfield.functions.filters import NUM, STR
 
-#: Numeric and boolean attributes with more distinct values than this have quantiles only.
+#: Numeric attributes with more distinct values than this have quantiles only; the values of strings are then kept in a table.
 MAX_FREQUENCIES = 256
 QUANTILES = 101
-#: Rows above which quantiles and distinct counts come from sketches.
-EXACT_ROWS = 50_000_000
 
 
 def null_fractions(records: DataFrame, names: list[str]) -> DataFrame:
@@ -26,40 +28,60 @@ def value_frequencies(records: DataFrame, name: str) -> DataFrame:
     return records.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("value")).agg(F.count("*").alias("n"))
 
 
-def order_statistics(records: DataFrame, name: str, points: int = QUANTILES) -> list[float]:
-    """Exact quantiles at `points` equal steps, interpolated between the values around each.
+def order_statistics(records: DataFrame, columns: list[str], points: int = QUANTILES) -> dict[str, list[float]]:
+    """Exact quantiles of each column at `points` equal steps, interpolated between the values around each.
 
-    The column is sorted across partitions; only the partitions' counts and the values at the wanted places
-    reach the driver.
+    Equal values are counted first, so a value that very many rows have is one row of the sort.  All columns are
+    sorted together; only the partitions' counts and the values at the wanted places reach the driver.
     """
-    ordered = records.where(F.col(name).isNotNull()).select(F.col(name).cast("double").alias("v")).sort("v")
-    placed = ordered.withColumn("at", F.monotonically_increasing_id()).select("v", F.shiftright("at", 33).alias("part"), F.col("at").bitwiseAND(F.lit((1 << 33) - 1)).alias("row")).persist()
+    spark = records.sparkSession
+    each = F.explode(F.array(*(F.struct(F.lit(i).alias("attr"), F.col(c).cast("double").alias("v")) for i, c in enumerate(columns))))
+    counted = records.select(each.alias("e")).select("e.*").where("v is not null").groupBy("attr", "v").agg(F.count("*").alias("n"))
+    ordered = counted.sort("attr", "v").withColumn("part", F.spark_partition_id()).persist()
     try:
-        counts = {r.part: r.n for r in placed.groupBy("part").agg(F.count("*").alias("n")).collect()}
-        n, before, firsts = sum(counts.values()), 0, []
-        if not n:
-            return []
-        for part in sorted(counts):
-            firsts.append((before, part))
-            before += counts[part]
-        where = [i * (n - 1) / (points - 1) for i in range(points)]
-        places = sorted({int(w) for w in where} | {min(n - 1, int(w) + 1) for w in where})
-        wanted, k = [], 0
-        for place in places:
-            while k + 1 < len(firsts) and firsts[k + 1][0] <= place:
-                k += 1
-            wanted.append((firsts[k][1], place - firsts[k][0], place))
-        picks = records.sparkSession.createDataFrame(wanted, "part long, row long, place long")
-        values = {r.place: r.v for r in placed.join(F.broadcast(picks), ["part", "row"]).select("place", "v").collect()}
+        held = {(r.attr, r.part): r.n for r in ordered.groupBy("attr", "part").agg(F.sum("n").alias("n")).collect()}
+        wanted: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        where: dict[int, list[float]] = {}
+        for attr in range(len(columns)):
+            parts = sorted(p for a, p in held if a == attr)
+            ends = np.cumsum([held[attr, p] for p in parts])
+            if not parts:
+                continue
+            n = int(ends[-1])
+            where[attr] = [i * (n - 1) / (points - 1) for i in range(points)]
+            for place in sorted({int(w) for w in where[attr]} | {min(n - 1, int(w) + 1) for w in where[attr]}):
+                k = int(np.searchsorted(ends, place, "right"))
+                wanted.setdefault((attr, parts[k]), []).append((place, place - (int(ends[k - 1]) if k else 0)))
+        shared = spark.sparkContext.broadcast(wanted)
+
+        def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            before: dict[int, int] = {}
+            for batch in filter(len, batches):
+                attrs, parts, values, counts = (np.asarray(batch.column(c)) for c in ("attr", "part", "v", "n"))
+                for attr in np.unique(attrs).tolist():
+                    own = attrs == attr
+                    ends = before.get(attr, 0) + np.cumsum(counts[own])
+                    places = [(place, row) for place, row in shared.value.get((attr, int(parts[0])), ()) if before.get(attr, 0) <= row < ends[-1]]
+                    before[attr] = int(ends[-1])
+                    if places:
+                        place, row = zip(*places, strict=True)
+                        yield pa.RecordBatch.from_arrays([pa.array([attr] * len(place), pa.int32()), pa.array(place, pa.int64()), pa.array(values[own][np.searchsorted(ends, row, "right")])], names=["attr", "place", "v"])
+
+        values = {(r.attr, r.place): r.v for r in ordered.select("attr", "part", "v", "n").mapInArrow(pick, "attr int, place long, v double").collect()}
     finally:
-        placed.unpersist()
-    return [values[int(w)] + (w - int(w)) * (values[min(n - 1, int(w) + 1)] - values[int(w)]) for w in where]
+        ordered.unpersist()
+    found = {}
+    for attr, name in enumerate(columns):
+        steps, last = where.get(attr, []), max((place for a, place in values if a == attr), default=0)
+        at = lambda place, attr=attr, last=last: values[attr, min(last, place)]
+        found[name] = [at(int(w)) + (w - int(w)) * (at(int(w) + 1) - at(int(w))) for w in steps]
+    return found
 
 
 def quantiles(records: DataFrame, name: str, points: int = QUANTILES, exact: bool = True) -> DataFrame:
     """(point, quantile): linear interpolation between order statistics, or a sketch's values."""
     if exact:
-        found = order_statistics(records, name, points)
+        found = order_statistics(records, [name], points)[name]
         return records.sparkSession.createDataFrame(list(enumerate(found)), "point int, quantile double")
     shares = F.array(*(F.lit(i / (points - 1)) for i in range(points)))
     return records.agg(F.percentile_approx(name, shares, 10_000).alias("q")).select(F.posexplode("q").alias("point", "quantile"))
@@ -70,17 +92,17 @@ def distinct_count(records: DataFrame, name: str, exact: bool = True) -> DataFra
     return records.agg((F.count_distinct(name) if exact else F.approx_count_distinct(name, 0.01)).alias("n_distinct"))
 
 
-def analyze(records: DataFrame, kinds: dict[str, str], exact_rows: int = EXACT_ROWS) -> dict[str, dict]:
+def analyze(records: DataFrame, kinds: dict[str, str], exact: bool = True, tables: str | None = None) -> dict[str, dict]:
     """The statistics of all attributes, as the planner's estimator takes them.
 
-    What reaches the driver: 101 numbers and at most 256 frequencies of a numeric attribute, and the
-    frequencies of a string attribute up to `MAX_FREQUENCIES` most frequent ones, beyond which the estimator
-    answers with an exact count instead.
+    What reaches the driver: 101 numbers and at most 256 frequencies of an attribute.  A string attribute of more
+    values has its frequencies written to a folder below `tables`, from where `resolve` takes those that a filter
+    names; without `tables` such an attribute has none, and the planner counts instead.  Quantiles and
+    distinct counts are exact, or, with `exact=False`, from sketches.
     """
     if not kinds:
         return {}
     n = records.count()
-    exact = n <= exact_rows
     shares = F.array(*(F.lit(i / (QUANTILES - 1)) for i in range(QUANTILES)))
     wanted = []
     for name, kind in kinds.items():
@@ -89,15 +111,30 @@ def analyze(records: DataFrame, kinds: dict[str, str], exact_rows: int = EXACT_R
         if kind == NUM and not exact:
             wanted.append(F.percentile_approx(column, shares, 10_000).alias(f"q_{name}"))
     row = records.agg(*wanted).first()
+    numbers = [name for name, kind in kinds.items() if kind == NUM and row[f"n_{name}"]]
+    points = order_statistics(records, numbers) if exact and numbers else {name: list(row[f"q_{name}"]) for name in numbers}
     found: dict[str, dict] = {}
     for name, kind in kinds.items():
         present, distinct = row[f"n_{name}"], row[f"d_{name}"]
         own: dict = {"kind": kind, "n": n, "null_frac": 1 - present / n if n else 0.0, "n_distinct": distinct}
-        if kind == NUM and present:
-            own["quantiles"] = order_statistics(records, name) if exact else list(row[f"q_{name}"])
+        if name in points:
+            own["quantiles"] = points[name]
         if distinct <= MAX_FREQUENCIES:
-            own["freq"] = {frequency_key(r.value): r.n for r in value_frequencies(records, name).collect()}
-        elif kind in (STR, BOOL):
-            continue
+            own["freq"] = [[r.value, r.n] for r in value_frequencies(records, name).collect()]
+        elif kind == STR:
+            if tables is None:
+                continue
+            own["unlisted"] = f"{tables}/{name}"
+            value_frequencies(records, name).sort("value").write.mode("overwrite").parquet(own["unlisted"])
         found[name] = own
     return found
+
+
+def resolve(stats: dict[str, dict], values: dict[str, set], spark: SparkSession) -> dict[str, dict]:
+    """The statistics with the frequencies of these values (by attribute) where they are kept in a table."""
+    found = dict(stats)
+    for name, some in values.items():
+        if path := stats.get(name, {}).get("unlisted"):
+            rows = spark.read.schema("value string, n long").parquet(path).where(F.col("value").isin(*some)).collect()
+            found[name] = {k: v for k, v in stats[name].items() if k != "unlisted"} | {"freq": [[r.value, r.n] for r in rows]}
+    return found

@@ -24,9 +24,13 @@ def norm(v: Column) -> Column:
 
 
 def l2_normalize(v: Column) -> Column:
-    """Unit length; a zero vector stays zero."""
+    """Unit length; a zero vector stays zero.
+
+    The array of one struct binds the length, which would be taken anew for each component.
+    """
     length = norm(v)
-    return F.transform(doubles(v), lambda x: x / F.when(length == 0, F.lit(1.0)).otherwise(length))
+    bound = F.array(F.struct(doubles(v).alias("v"), F.when(length == 0, F.lit(1.0)).otherwise(length).alias("length")))
+    return F.transform(bound, lambda x: F.transform(x["v"], lambda y: y / x["length"]))[0]
 
 
 def cosine_similarity(squared: Column) -> Column:

@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearfield.errors import InvalidArgument
-from nearfield.functions.filters import Filter, canonical, check, compile_filter, estimate, flag, parse
+from nearfield.functions.filters import Filter, canonical, check, compile_filter, estimate, flag, literals, parse
+from nearfield.functions.stats import resolve
 from nearfield.operators.topk import top_k
 
 STRATEGIES = ("brute_force", "bitmap", "post_filter")
@@ -45,7 +46,7 @@ class Planner:
         """The share of live rows that match, and whether it was counted; estimated only for large collections."""
         check(node, kinds)
         if stats and n >= self.exact_selectivity_below:
-            guess = estimate(node, stats)
+            guess = estimate(node, resolve(stats, literals(node), records.sparkSession))
             if guess is not None:
                 return guess, False
         share = records.agg(F.avg(flag(node, kinds).cast("double"))).first()[0]
@@ -90,6 +91,7 @@ class Found:
     strategy: str
     ef: int
     selectivity: float | None
+    stats: dict = field(default_factory=dict)
 
 
 def filtered_search(
@@ -106,28 +108,37 @@ def filtered_search(
     near: Callable[[DataFrame, int, int], DataFrame] | None = None,
     version: int = 0,
     id: str = "id",
+    learned: Callable[[float], int] | None = None,
 ) -> Found:
     """The k nearest records that satisfy a filter.
 
     `near(records, k, ef)` is the index's search; without one every strategy searches exactly, and they differ
-    in where the filter stands.
+    in where the filter stands.  `learned(selectivity)`, if given, is the budget of a bitmap search.
     """
     node = parse(text)
     predicate = compile_filter(node, kinds)
     plan = planner.plan(node, records, kinds, stats, n, strategy, exact_index=near is None and strategy is None)
     search = near or (lambda rows, k, ef: top_k(rows, query, k, id))
+    counters = lambda: getattr(near, "stats", {})
     if plan.strategy == "brute_force":
         return Found(top_k(records.where(predicate), query, k, id), plan.strategy, 0, plan.selectivity)
     if plan.strategy == "bitmap":
         rows = planner.mask(node, records, kinds, version) if near is None else records.where(predicate)
-        return Found(search(rows, k, ef), plan.strategy, ef, plan.selectivity)
+        if near is not None and learned is not None:
+            found = search(rows, k, learned(plan.selectivity))
+            return Found(found, "bitmap+early_stop", counters().get("probes", 0), plan.selectivity, counters())
+        return Found(search(rows, k, ef), plan.strategy, ef, plan.selectivity, counters())
     fetch = planner.fetch(k, plan.selectivity)
     ef_post = min(max(ef, fetch), planner.post_filter_max_ef)
     # The filter stands above the limit, so Catalyst leaves it there.
     rows = search(records, fetch, ef_post).where(predicate).orderBy("distance", id).limit(k)
-    if strategy is None and rows.count() < k:
-        return Found(search(records.where(predicate), k, ef), "post_filter+bitmap", ef, plan.selectivity)
-    return Found(rows, plan.strategy, ef_post, plan.selectivity)
+    if strategy is None:
+        # At most post_filter_max_ef rows: collected, so that the search is not run again when they are read.
+        got = rows.collect()
+        if len(got) < k:
+            return Found(search(records.where(predicate), k, ef), "post_filter+bitmap", ef, plan.selectivity, counters())
+        rows = records.sparkSession.createDataFrame(got, rows.schema)
+    return Found(rows, plan.strategy, ef_post, plan.selectivity, counters())
 
 
 def compare(records: DataFrame, kinds: dict[str, str], query: list[float], k: int, text: str, planner: Planner, id: str = "id") -> list[dict]:
