@@ -33,8 +33,9 @@ def products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select(F.concat(F.lit("p"), "vec_id").alias("id"), "vec_id", F.col("embedding").alias("vector"), "price", "category", "kind", "in_stock", F.col("label").cast("double").alias("rating"))
 
 
-def query_set(spark: SparkSession, sf_dir: str, n: int = 50) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").where(F.col("vec_id") < n).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qv"))
+def query_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row whose id is divisible by 50."""
+    return table(spark, sf_dir, "embeddings").where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qv"))
 
 
 def vector_of(spark: SparkSession, sf_dir: str, vec_id: int) -> list[float]:
@@ -74,7 +75,7 @@ def rounded(df: DataFrame, *columns: str) -> DataFrame:
 
 SINGLE = f"""SELECT e.vec_id, round({l2('e.embedding', 'q.embedding')}, 6) AS distance
 FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q {{where}} ORDER BY {l2('e.embedding', 'q.embedding')}, e.vec_id {{limit}}"""
-BATCH = f"""d AS (SELECT q.vec_id AS qid, e.vec_id AS vec_id, {l2('e.embedding', 'q.embedding')} AS d FROM embeddings e, embeddings q WHERE q.vec_id < {{n}}),
+BATCH = f"""d AS (SELECT q.vec_id AS qid, e.vec_id AS vec_id, {l2('e.embedding', 'q.embedding')} AS d FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0),
 r AS (SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY d, vec_id) AS INTEGER) AS rank, vec_id, d FROM d)"""
 
 
@@ -91,7 +92,7 @@ def topk_k_gt_n(spark, sf_dir):
     return rounded(found.select("vec_id", "distance"))
 
 
-@register("flat_topk_batch", f"WITH {BATCH.format(n=50)} SELECT qid, rank, vec_id, round(d, 6) AS distance FROM r WHERE rank <= 10")
+@register("flat_topk_batch", f"WITH {BATCH} SELECT qid, rank, vec_id, round(d, 6) AS distance FROM r WHERE rank <= 10")
 def flat_topk_batch(spark, sf_dir):
     return rounded(topk.top_k_batch(table(spark, sf_dir, "embeddings"), query_set(spark, sf_dir), 10, "vec_id", "embedding"))
 
@@ -127,10 +128,10 @@ def with_attributes(spark, sf_dir):
     return rounded(found.select("id", "distance", "price", "category", "in_stock", "rating"))
 
 
-@register("l2_normalize", f"WITH {NORMED} SELECT vec_id, round(list_sum(v), 6) AS total, len(v) AS dim FROM n")
+@register("l2_normalize", f"WITH {NORMED} SELECT vec_id, round(list_sum(v), 6) AS total, round(list_sum(list_transform(list_zip(v, range(len(v))), lambda z: z[1] * z[2])), 6) AS weighted, len(v) AS dim FROM n")
 def normalized(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings").withColumn("v", l2_normalize(F.col("embedding")))
-    return v.select("vec_id", F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x), 6).alias("total"), F.size("v").cast("long").alias("dim"))
+    return v.select("vec_id", F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x), 6).alias("total"), F.round(F.aggregate(F.transform("v", lambda x, i: x * i), F.lit(0.0), lambda s, x: s + x), 6).alias("weighted"), F.size("v").cast("long").alias("dim"))
 
 
 # ---- filters ----
@@ -184,17 +185,17 @@ def planned(spark, sf_dir, strategy):
     return rounded(found.rows.select("id", "distance"))
 
 
-@register("filtered_gt_batch", f"""WITH {PRODUCTS}, q AS (SELECT vec_id AS qid, embedding, (vec_id % 10) AS want FROM embeddings WHERE vec_id < 40),
+@register("filtered_gt_batch", f"""WITH {PRODUCTS}, q AS (SELECT vec_id AS qid, embedding, (vec_id // 50 % 10) AS want FROM embeddings WHERE vec_id % 50 = 0),
 d AS (SELECT qid, p.vec_id, {l2('p.vector', 'q.embedding')} AS d FROM q JOIN products p ON p.rating = q.want),
 r AS (SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY d, vec_id) AS INTEGER) AS rank, vec_id, d FROM d)
 SELECT qid, rank, vec_id, round(d, 6) AS distance FROM r WHERE rank <= 5""")
 def filtered_gt_batch(spark, sf_dir):
-    """A predicate for each query (rating equal to qid mod 10): ground truth over all pairs that satisfy it."""
+    """A predicate for each query (rating equal to the last digit of qid / 50): ground truth over all pairs that satisfy it."""
 
     def allowed(batch, q_ids):
-        return np.asarray(batch.column("rating"))[:, None] == (q_ids % 10)[None, :]
+        return np.asarray(batch.column("rating"))[:, None] == (q_ids // 50 % 10)[None, :]
 
-    return rounded(topk.top_k_batch(products(spark, sf_dir), query_set(spark, sf_dir, 40), 5, "vec_id", "vector", mask=allowed, extra=("rating",)))
+    return rounded(topk.top_k_batch(products(spark, sf_dir), query_set(spark, sf_dir), 5, "vec_id", "vector", mask=allowed, extra=("rating",)))
 
 
 @register("selectivity_exact", f"WITH {PRODUCTS} SELECT round(avg(CASE WHEN price < 930 AND in_stock THEN 1.0 ELSE 0.0 END), 6) AS selectivity FROM products")
@@ -215,6 +216,16 @@ def stats_freq(spark, sf_dir):
     return st.value_frequencies(products(spark, sf_dir), "category")
 
 
+@register("stats_freq_num", f"WITH {PRODUCTS} SELECT rating AS value, count(*) AS n FROM products WHERE rating IS NOT NULL GROUP BY 1")
+def stats_freq_num(spark, sf_dir):
+    return st.value_frequencies(products(spark, sf_dir), "rating")
+
+
+@register("stats_freq_bool", f"WITH {PRODUCTS} SELECT in_stock AS value, count(*) AS n FROM products WHERE in_stock IS NOT NULL GROUP BY 1")
+def stats_freq_bool(spark, sf_dir):
+    return st.value_frequencies(products(spark, sf_dir), "in_stock")
+
+
 POINTS = ", ".join(str(i / 100) for i in range(101))
 
 
@@ -278,30 +289,26 @@ def id_lookup(spark, sf_dir):
     return live_records(op_log(spark, sf_dir)).join(F.broadcast(wanted), "id").select("id", "lsn")
 
 
-@register("acked_minus_deleted", f"WITH {OPS} SELECT id FROM (SELECT DISTINCT id FROM ops WHERE op = 'U' AND lsn <= 200) a WHERE id NOT IN (SELECT id FROM ops WHERE op = 'D' AND lsn <= 200)")
+@register("acked_minus_deleted", f"WITH {OPS} SELECT id FROM (SELECT DISTINCT id FROM ops WHERE op = 'U') a WHERE id NOT IN (SELECT id FROM ops WHERE op = 'D')")
 def acked_minus_deleted(spark, sf_dir):
-    ops = op_log(spark, sf_dir).where("lsn <= 200")
+    ops = op_log(spark, sf_dir)
     return ops.where("op = 'U'").select("id").subtract(ops.where("op = 'D'").select("id"))
 
 
 # ---- graph ----
 
-KNN = f"""WITH d AS (SELECT s.vec_id AS src, e.vec_id AS dst, {l2('e.embedding', 's.embedding')} AS d FROM embeddings s, embeddings e WHERE s.vec_id < 100 AND e.vec_id < 100 AND s.vec_id <> e.vec_id),
+KNN = f"""WITH d AS (SELECT s.vec_id AS src, e.vec_id AS dst, {l2('e.embedding', 's.embedding')} AS d FROM embeddings s, embeddings e WHERE s.vec_id <> e.vec_id),
 r AS (SELECT src, CAST(row_number() OVER (PARTITION BY src ORDER BY d, dst) AS INTEGER) AS rank, dst, d FROM d), k AS (SELECT * FROM r WHERE rank <= 8)"""
 
 
-def graph_base(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").where("vec_id < 100")
-
-
 @register("knn_graph", KNN + " SELECT src, rank, dst, round(d, 6) AS distance FROM k")
 def knn_graph(spark, sf_dir):
-    return rounded(graph.knn_graph(graph_base(spark, sf_dir), 8, "vec_id", "embedding"))
+    return rounded(graph.knn_graph(table(spark, sf_dir, "embeddings"), 8, "vec_id", "embedding"))
 
 
 @register("reverse_edges", KNN + " SELECT dst, string_agg(CAST(src AS VARCHAR), ',' ORDER BY src) AS sources FROM k GROUP BY dst")
 def reverse_edges(spark, sf_dir):
-    found = graph.reverse_edges(graph.knn_graph(graph_base(spark, sf_dir), 8, "vec_id", "embedding"))
+    found = graph.reverse_edges(graph.knn_graph(table(spark, sf_dir, "embeddings"), 8, "vec_id", "embedding"))
     return found.select("dst", F.array_join("sources", ",").alias("sources"))
 
 
@@ -336,27 +343,28 @@ def pq_reconstruction_error(spark, sf_dir):
     return rounded(pq.reconstruction_error(pq.encode(table(spark, sf_dir, "embeddings"), books, "embedding"), books, "vec_id", "embedding"), "error")
 
 
-ADC = f"""WITH {BOOKS.format(where='')}, q AS (SELECT vec_id AS qid, embedding FROM embeddings WHERE vec_id < 10),
+ADC = f"""WITH {BOOKS.format(where='')}, q AS (SELECT vec_id AS qid, embedding FROM embeddings WHERE vec_id % 50 = 0),
 a AS (SELECT q.qid, codes.vec_id, sum({l2('q.embedding[8 * codes.j + 1 : 8 * codes.j + 8]', 'c.embedding[8 * codes.j + 1 : 8 * codes.j + 8]')}) AS d FROM q, codes JOIN c ON c.code = codes.code GROUP BY 1, 2),
 r AS (SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY round(d, 9), vec_id) AS INTEGER) AS rank, vec_id, d FROM a)"""
 
 
-@register("pq_adc_topk", ADC + " SELECT qid, rank, round(d, 6) AS distance FROM r WHERE rank <= 10")
+@register("pq_adc_topk", ADC + " SELECT qid, rank, vec_id, round(d, 6) AS distance FROM r WHERE rank <= 10")
 def pq_adc_topk(spark, sf_dir):
     books = fixed_codebooks(spark, sf_dir)
     encoded = pq.encode(table(spark, sf_dir, "embeddings"), books, "embedding")
-    return rounded(pq.scan(encoded, books, query_set(spark, sf_dir, 10), 10, "vec_id")).select("qid", "rank", "distance")
+    return rounded(pq.scan(encoded, books, query_set(spark, sf_dir), 10, "vec_id"))
 
 
-@register("rerank_topk", f"""WITH q AS (SELECT vec_id AS qid, embedding FROM embeddings WHERE vec_id < 10),
-d AS (SELECT q.qid, e.vec_id, {l2('e.embedding', 'q.embedding')} AS d FROM q JOIN embeddings e ON e.label = q.qid),
+@register("rerank_topk", f"""WITH q AS (SELECT vec_id AS qid, embedding FROM embeddings WHERE vec_id % 50 = 0),
+d AS (SELECT q.qid, e.vec_id, {l2('e.embedding', 'q.embedding')} AS d FROM q JOIN embeddings e ON e.label = q.qid // 50 % 10),
 r AS (SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY d, vec_id) AS INTEGER) AS rank, vec_id, d FROM d)
 SELECT qid, rank, vec_id, round(d, 6) AS distance FROM r WHERE rank <= 5""")
 def rerank_topk(spark, sf_dir):
-    """Candidates: for each query the rows labelled with its number."""
+    """Candidates: for each query the rows labelled with the last digit of qid / 50."""
     base = table(spark, sf_dir, "embeddings")
-    candidates = base.where("label < 10").select(F.col("label").cast("long").alias("qid"), "vec_id")
-    return rounded(topk.rerank(candidates, base, query_set(spark, sf_dir, 10), 5, "vec_id", "embedding"))
+    wanted = query_set(spark, sf_dir).select("qid", F.expr("cast(qid div 50 % 10 AS int)").alias("label"))
+    candidates = base.join(wanted, "label").select("qid", "vec_id")
+    return rounded(topk.rerank(candidates, base, query_set(spark, sf_dir), 5, "vec_id", "embedding"))
 
 
 MEANS = """m AS (SELECT label, d, avg(x) AS mean FROM (SELECT label, CAST(unnest(range(64)) AS INTEGER) AS d, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings) t GROUP BY 1, 2)"""
@@ -390,11 +398,43 @@ def ivf_topk(spark, sf_dir):
     return rounded(ivf.search_batch(ordered, cells, query_set(spark, sf_dir), 10, 32, "vec_id", "embedding"))
 
 
-@register("hnsw_pq_topk")
-def hnsw_pq_topk(spark, sf_dir):
+def coded(spark, sf_dir):
     base = table(spark, sf_dir, "embeddings")
     books = pq.train(kmeans.sample(base, "vec_id", "embedding"), 8, 10)
-    return rounded(pq.search(pq.encode(base, books, "embedding"), books, query_set(spark, sf_dir), 10, 64, "vec_id", "embedding"))
+    return pq.encode(base, books, "embedding"), books
+
+
+@register("hnsw_pq_topk")
+def hnsw_pq_topk(spark, sf_dir):
+    """The pool is as deep as sample queries need for their recall."""
+    encoded, books = coded(spark, sf_dir)
+    depth = pq.tune_depth(encoded, books, 10, id="vec_id", vector="embedding")
+    return rounded(pq.search(encoded, books, query_set(spark, sf_dir), 10, 64, "vec_id", "embedding", depth=depth))
+
+
+#: What must hold of an approximate search, whatever it finds: ten hits a query, exact distances, enough recall.
+QUALITY = "SELECT count(*) AS queries, 10 * count(*) AS hits, 0 AS wrong, true AS enough FROM embeddings WHERE vec_id % 50 = 0"
+
+
+def quality(spark, sf_dir, found: DataFrame) -> DataFrame:
+    """One row: queries, hits, hits whose distance is not the exact one, and whether recall is 0.9 or more."""
+    base, queries = table(spark, sf_dir, "embeddings"), query_set(spark, sf_dir)
+    truth = topk.top_k_batch(base, queries, 10, "vec_id", "embedding")
+    exact = found.join(base.select("vec_id", "embedding"), "vec_id").join(queries, "qid")
+    off = F.abs(l2_distance(F.col("embedding"), F.col("qv")) - F.col("distance")) > 1e-5
+    hits = exact.agg(F.lit(1).alias("one"), F.count_distinct("qid").alias("queries"), F.count("*").alias("hits"), F.count_if(off).alias("wrong"))
+    recall = metrics.recall(found, truth, 10, "vec_id").select(F.lit(1).alias("one"), (F.col("recall") >= 0.9).alias("enough"))
+    return hits.join(recall, "one").drop("one")
+
+
+@register("ivf_quality", QUALITY)
+def ivf_quality(spark, sf_dir):
+    return quality(spark, sf_dir, ivf_topk(spark, sf_dir))
+
+
+@register("hnsw_pq_quality", QUALITY)
+def hnsw_pq_quality(spark, sf_dir):
+    return quality(spark, sf_dir, hnsw_pq_topk(spark, sf_dir))
 
 
 # ---- measures ----
@@ -407,7 +447,7 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("value").alias("ms"), ((F.col("event_id") % 100) / 100.0).alias("selectivity"), ((F.col("event_id") % 11) / 10.0).alias("recall"), F.col("event_type").alias("strategy"), "user_id")
 
 
-@register("recall_at_k", f"WITH {BATCH.format(n=50)}, t AS (SELECT * FROM r WHERE rank <= 10) SELECT qid, count(*) FILTER (WHERE vec_id % 3 <> 0) / 10.0 AS recall FROM t GROUP BY qid")
+@register("recall_at_k", f"WITH {BATCH}, t AS (SELECT * FROM r WHERE rank <= 10) SELECT qid, count(*) FILTER (WHERE vec_id % 3 <> 0) / 10.0 AS recall FROM t GROUP BY qid")
 def recall_at_k(spark, sf_dir):
     base = table(spark, sf_dir, "embeddings")
     truth = topk.top_k_batch(base, query_set(spark, sf_dir), 10, "vec_id", "embedding")
