@@ -3,8 +3,9 @@
 Directory layout, below any path that Spark can write:
 
     collection.json   name, dim and settings; never changes
-    log/<lsn>/        one batch of ops each
+    log/<lsn>/        one batch of ops each, with the cell and code that the snapshot's index gives their vectors
     snapshot/<lsn>/   records/ (the live rows, in order of their cell), cells/ and codebooks/ (small Parquet tables)
+    stats/<lsn>/      frequencies of string attributes with many values
     MANIFEST          the snapshot's LSN, kinds, statistics and stream position; replaced atomically
 
 The live state is the snapshot with the ops behind it: the last op of each id wins.  A batch is acknowledged
@@ -28,10 +29,11 @@ from pyspark.sql import types as T
 from nearfield import config as settings
 from nearfield.errors import AlreadyExists, InvalidArgument, NotFound
 from nearfield.functions import stats as st
-from nearfield.functions.filters import BOOL, NUM, STR, names, parse
-from nearfield.functions.vector import is_vector, l2_normalize
+from nearfield.functions.filters import BOOL, NUM, STR, parse
+from nearfield.functions.vector import is_vector, l2_distance, l2_normalize
 from nearfield.operators import ivf, kmeans, pq
-from nearfield.operators.topk import literal_vector, ranked, top_k, top_k_batch
+from nearfield.operators.topk import ranked, top_k, top_k_batch
+from nearfield.plans import budget
 from nearfield.plans.planner import Found, Planner, filtered_search
 from nearfield.sources import log
 
@@ -77,10 +79,14 @@ class Collection:
             self.manifest |= json.loads(self.store.read_text("MANIFEST"))
         self.kinds: dict[str, str] = dict(self.manifest["kinds"])
         self.stats: dict[str, dict] = self.manifest["stats"]
+        for own in self.stats.values():
+            if "unlisted" in own:  # wherever the collection is now
+                own["unlisted"] = "/".join((self.store.root, "stats", *own["unlisted"].rsplit("/", 2)[1:]))
         self.snapshot_lsn: int = self.manifest["lsn"]
         self.stream_batch: int = self.manifest["stream_batch"]
         self.next_row: int = self.manifest["row_id"]
         self.version, self.churn, self.logged, self.budget_model = 0, 0, 0, None
+        self.store.fsync = self.config["durability"]["fsync"]
         self.tail: list[int] = log.batches(self.store, self.snapshot_lsn)
         self.lsn = self.tail[-1] if self.tail else self.snapshot_lsn
         options = self.config["planner"]
@@ -88,6 +94,9 @@ class Collection:
         for lsn in self.tail:
             self.__learn_batch(lsn)
         self.__clean()
+        if model := self.config["early_stop"]["model"]:
+            self.set_budget_model(budget.load(spark, model))
+            self.budget_model.multiplier = self.config["early_stop"]["multiplier"]
 
     @classmethod
     def create(cls, spark: SparkSession, path: str, name: str, dim: int, options: dict[str, Any] | None = None) -> Collection:
@@ -128,6 +137,10 @@ class Collection:
         for n in self.store.names("snapshot"):
             if n != log.batch_name(self.snapshot_lsn):
                 self.store.remove("snapshot", n)
+        used = {own["unlisted"].rsplit("/", 2)[-2] for own in self.stats.values() if "unlisted" in own}
+        for n in self.store.names("stats"):
+            if n not in used:
+                self.store.remove("stats", n)
 
     def __snapshot(self, part: str) -> str | None:
         where = ("snapshot", log.batch_name(self.snapshot_lsn), part)
@@ -149,9 +162,11 @@ class Collection:
 
     def records(self) -> DataFrame:
         """The live records."""
-        if not self.tail:
-            return self.ops()
-        return log.live_records(self.ops())
+        return self.__candidates().drop("cell", "code")
+
+    def get(self, ids: list[str]) -> DataFrame:
+        """The live records with these ids; unknown ids have none."""
+        return self.records().where(F.col("id").isin([str(i) for i in ids]))
 
     @cached_property
     def __index(self) -> dict[str, Any]:
@@ -196,7 +211,7 @@ class Collection:
         return len(ids)
 
     def upsert_frame(self, df: DataFrame, order: str | None = None, stream_batch: int | None = None) -> int:
-        """Upsert the rows (id, vector, attributes) of a DataFrame; `order` says which of equal ids is last."""
+        """Upsert the rows (id, vector, attributes) of a DataFrame; `order` says which of equal ids is last, without it they are refused."""
         for c in ("id", "vector"):
             if c not in df.columns:
                 raise InvalidArgument(f"no column {c!r}")
@@ -210,18 +225,24 @@ class Collection:
                 raise InvalidArgument(f"{f.name!r} is {f.dataType.simpleString()}: attributes are numbers, strings or booleans")
             kinds[f.name] = kind
         self.__check_kinds(kinds)
-        if df.where(F.col("id").isNull() | ~is_vector(F.col("vector"), self.dim)).limit(1).count():
-            raise InvalidArgument(f"every record needs an id and {self.dim} finite components")
         for name, kind in kinds.items():
             value = F.col(name).cast(TYPES[kind])
             df = df.withColumn(name, F.when(~F.isnan(value), value) if kind == NUM else value)
-        n = df.count()
+        bad = F.col("id").isNull() | ~is_vector(F.col("vector"), self.dim)
+        seen = df.agg(F.count("*").alias("n"), F.count_if(bad).alias("bad"), *([] if order else [F.count_distinct("id").alias("ids")])).first()
+        if seen.bad:
+            raise InvalidArgument(f"every record needs an id and {self.dim} finite components")
+        if not order and seen.ids != seen.n:
+            raise InvalidArgument("ids occur more than once: `order` must name the column that says which is last")
+        n = seen.n
         if not n:
             return 0
         if self.config["metric"] == "cosine":
             df = df.withColumn("vector", l2_normalize(F.col("vector")).cast("array<float>"))
-        value = F.struct(*([F.col(order).alias("_order")] if order else []), *(c for c in df.columns if c not in ("id", order)))
-        last = df.groupBy("id").agg((F.max_by(value, F.col(order)) if order else F.last(value)).alias("r")).select("id", "r.*").drop("_order")
+        last = df
+        if order:
+            value = F.struct(F.col(order).alias("_order"), *(c for c in df.columns if c not in ("id", order)))
+            last = df.groupBy("id").agg(F.max_by(value, F.col(order)).alias("r")).select("id", "r.*").drop("_order")
         self.__log(last.withColumn("pos", F.lit(0)).withColumn("op", F.lit("U")), kinds, n, stream_batch)
         return n
 
@@ -260,6 +281,10 @@ class Collection:
         lsn, all_kinds = self.lsn + 1, self.kinds | kinds
         name = log.batch_name(lsn)
         numbered = ops.withColumn("lsn", F.lit(lsn).cast("long")).withColumn("row_id", F.xxhash64("id"))
+        if "vector" in ops.columns and (cells := self.cells()) is not None:
+            numbered = kmeans.assign(numbered, cells.centroids)
+            if (books := self.codebooks()) is not None:
+                numbered = pq.encode(numbered, books)
         self.store.remove("log", f".{name}.tmp")
         numbered.write.parquet(f"{self.store.root}/log/.{name}.tmp")
         note = {"kinds": all_kinds, "row_id": self.next_row + n, "rows": n, "stream_batch": self.stream_batch if stream_batch is None else stream_batch}
@@ -276,7 +301,7 @@ class Collection:
 
     def refresh_stats(self) -> dict[str, dict]:
         """New attribute statistics for the planner."""
-        self.stats, self.churn = st.analyze(self.records(), self.kinds), 0
+        self.stats, self.churn = st.analyze(self.records(), self.kinds, tables=f"{self.store.root}/stats/{log.batch_name(self.lsn)}"), 0
         return self.stats
 
     def snapshot(self) -> None:
@@ -304,7 +329,9 @@ class Collection:
             self.spark.createDataFrame([(i, c.tolist(), int(k)) for i, (c, k) in enumerate(zip(cells, counts, strict=True))], "cell int, centroid array<double>, n long").write.parquet(f"{target}/cells")
         if codebooks is not None:
             self.spark.createDataFrame([(j, b.tolist()) for j, b in enumerate(codebooks)], "subspace int, centroids array<array<double>>").write.parquet(f"{target}/codebooks")
-        self.stats = st.analyze(written, self.kinds)
+        if codebooks is not None:
+            self.manifest["pool"] = pq.tune_depth(written, codebooks)
+        self.stats = st.analyze(written, self.kinds, tables=f"{self.store.root}/stats/{name}")
         self.manifest |= {"lsn": self.lsn, "row_id": self.next_row, "kinds": self.kinds, "stats": self.stats, "stream_batch": self.stream_batch, "rows": n}
         self.store.write_text(json.dumps(self.manifest), "MANIFEST")
         self.snapshot_lsn, self.tail, self.churn, self.logged = self.lsn, [], 0, 0
@@ -322,25 +349,22 @@ class Collection:
     def __budget(self, ef: int | None) -> int:
         return ef if ef is not None else self.config["hnsw"]["ef_search"]
 
-    def near(self, query: list[float], rows: DataFrame | None = None) -> Any:
-        """The index's search as the planner wants it: candidates from the probed cells and from the log's tail."""
-        cells = self.cells()
-        live = rows if rows is not None else self.__candidates()
-
-        def run(records: DataFrame, k: int, ef: int) -> DataFrame:
-            probes = cells.probe(np.asarray(query, np.float64), ef, k)
-            return top_k(records.where(F.col("cell").isin(probes) | F.col("cell").isNull()), query, k, "id")
-
-        return live, run
+    def near(self, query: list[float], rows: DataFrame | None = None) -> tuple[DataFrame, CellSearch]:
+        """The index's search as the planner wants it: candidates from the probed cells, of snapshot and log."""
+        return (rows if rows is not None else self.__candidates()), CellSearch(self.cells(), query)
 
     def __candidates(self) -> DataFrame:
-        """Live rows with their cell; rows newer than the snapshot have none and are always candidates."""
-        base = self.indexed()
+        """Live rows with their cell and code: the snapshot's but for ids in the tail, and the tail's last upserts.
+
+        Only the tail is ranked; the snapshot's rows meet its ids in an anti-join, which is broadcast where it is small.
+        """
+        base, schema = self.indexed(), self.__schema(", cell int, code binary")
         if not self.tail:
-            return base
-        tail = log.latest_ops(log.read(self.store, self.tail, self.__schema()))
-        kept = base.join(tail.select("id"), "id", "left_anti")
-        return kept.unionByName(tail.where("op = 'U'"), allowMissingColumns=True)
+            return base if base is not None else self.spark.createDataFrame([], schema)
+        tail = log.latest_ops(log.read(self.store, self.tail, schema))
+        if base is None:
+            return tail.where("op = 'U'")
+        return base.join(tail.select("id"), "id", "left_anti").unionByName(tail.where("op = 'U'"))
 
     def query(self, vector: Any, k: int = 10, filter: str | None = None, ef: int | None = None, strategy: str | None = None) -> Found:
         """The k nearest records as a DataFrame (all columns and `distance`), nearest first."""
@@ -351,36 +375,34 @@ class Collection:
         if np.ndim(vector) != 1:
             raise InvalidArgument("a query is one vector")
         q = [float(v) for v in self.__vectors(vector)[0]]
-        budget = self.__budget(ef)
+        wanted = self.__budget(ef)
         cells = self.cells() if self.config["index"] != "flat" else None
+        learned = self.budget_model if ef is None and cells is not None else None
         node = parse(filter) if filter else None
         if node is not None:
             live, near = (self.records(), None) if cells is None else self.near(q)
-            return filtered_search(live, self.kinds, q, k, filter, self.planner, self.stats, self.manifest["rows"], strategy, budget, near, self.version)
+            ef_for = (lambda share: learned.budget(np.asarray(q), cells, k, share)) if learned is not None else None
+            return filtered_search(live, self.kinds, q, k, filter, self.planner, self.stats, self.manifest["rows"], strategy, wanted, near, self.version, learned=ef_for)
         if cells is None:
             label = "flat" if self.config["index"] == "flat" else "hnsw"
-            return Found(top_k(self.records(), q, k), label, 0 if label == "flat" else budget, None)
-        if self.budget_model is not None and ef is None:
-            budget = self.budget_model.budget(np.asarray(q), cells, k)
-            live, near = self.near(q)
-            return Found(near(live, k, budget), "hnsw+early_stop", budget, None)
+            return Found(top_k(self.records(), q, k), label, 0 if label == "flat" else wanted, None, {"ndist": self.manifest["rows"] + self.logged})
         live, near = self.near(q)
-        books = self.codebooks()
-        if books is None:
-            return Found(near(live, k, budget), "hnsw", budget, None)
-        return Found(self.__by_codes(live, q, k, budget, cells, books), "hnsw_pq", budget, None)
-
-    def __by_codes(self, live: DataFrame, q: list[float], k: int, ef: int, cells: ivf.Cells, books: np.ndarray) -> DataFrame:
-        """A pool by table lookup in the probed cells, and all rows without a code; then exact distances."""
-        from nearfield.functions.vector import adc_distance
-
+        if learned is not None:
+            rows = near(live, k, learned.budget(np.asarray(q), cells, k))
+            return Found(rows, "hnsw+early_stop", near.stats["probes"], None, near.stats)
+        if (books := self.codebooks()) is None:
+            return Found(near(live, k, wanted), "hnsw", wanted, None, near.stats)
+        return self.__by_codes(live, q, k, wanted, cells, books)
+
+    def __by_codes(self, live: DataFrame, q: list[float], k: int, ef: int, cells: ivf.Cells, books: np.ndarray) -> Found:
+        """A pool by table lookup in the probed cells, and all rows without a code; then exact distances of those alone."""
         options = self.config["pq"]
-        depth = pq.rerank_depth(k, ef, options["rerank_factor"], options["rerank_max"])
+        depth = max(pq.rerank_depth(k, ef, options["rerank_factor"], options["rerank_max"]), self.manifest.get("pool", 0))
         probes = cells.probe(np.asarray(q, np.float64), ef, depth)
-        table = F.array(*(literal_vector(row) for row in pq.tables(np.array([q]), books)[0]))
-        coded = pq.code_arrays(live.where(F.col("cell").isin(probes)))
-        pool = coded.withColumn("distance", adc_distance(F.col("code"), table)).orderBy("distance", "id").limit(depth).drop("distance", "code")
-        return top_k(pool.unionByName(live.where("cell is null").drop("code")), q, k)
+        coded = live.where(F.col("cell").isin(probes) & F.col("code").isNotNull())
+        chosen = coded.join(F.broadcast(pq.pool(coded, books, np.asarray(q, np.float64), depth)), "id", "left_semi")
+        rows = top_k(chosen.unionByName(live.where("code is null")).drop("code"), q, k)
+        return Found(rows, "hnsw_pq", ef, None, {"probes": len(probes), "ndist": int(cells.counts[probes].sum()), "reranked": depth})
 
     def search(self, vector: Any, k: int = 10, filter: str | None = None, ef: int | None = None, include_attributes: bool = False, strategy: str | None = None) -> SearchResult:
         """The k nearest records, collected."""
@@ -388,29 +410,32 @@ class Collection:
         kinds = sorted(self.kinds) if include_attributes else []
         rows = found.rows.select("id", "distance", *kinds).orderBy("distance", "id").collect()
         attributes = [{a: r[a] for a in kinds if r[a] is not None} for r in rows] if include_attributes else None
-        return SearchResult([r.id for r in rows], [r.distance for r in rows], SearchInfo(found.strategy, found.ef, found.selectivity), attributes)
+        return SearchResult([r.id for r in rows], [r.distance for r in rows], SearchInfo(found.strategy, found.ef, found.selectivity, found.stats), attributes)
 
     def search_batch(self, queries: DataFrame, k: int = 10, filter: str | None = None, ef: int | None = None) -> DataFrame:
         """(qid, rank, id, distance) for every row (qid: long, qv) of `queries`, in one job a page of queries.
 
         With an index each query has its own cells; a filter is applied before the search, so results are as
-        those of bitmap.  Rows travel under a 64-bit hash of their id; should two ids hash alike, both are hits
-        where one is.
+        those of bitmap.  Rows travel under a 64-bit hash of their id; the distances of the hits are then taken again
+        with the ids at hand, so ids that hash alike are told apart.
         """
         if self.config["metric"] == "cosine":
             queries = queries.withColumn("qv", l2_normalize(F.col("qv")))
         cells = self.cells() if self.config["index"] != "flat" else None
-        live = self.records() if cells is None else self.__candidates()
+        live = self.__candidates()
         if filter:
             from nearfield.functions.filters import compile_filter
 
             live = live.where(compile_filter(parse(filter), self.kinds))
         keyed = live.withColumn("key", F.xxhash64("id"))
-        if cells is None or self.tail:
+        if cells is None:
             found = top_k_batch(keyed, queries, k, "key", "vector")
         else:
             found = ivf.search_batch(keyed, cells, queries, k, self.__budget(ef), "key", "vector")
-        return ranked(found.join(keyed.select("key", "id"), "key"), k)
+            if self.tail:  # rows that were logged before the index was there
+                found = found.unionByName(top_k_batch(keyed.where("cell is null"), queries, k, "key", "vector"))
+        hits = found.select("qid", "key").distinct().join(keyed.select("key", "id", "vector"), "key").join(queries.select("qid", "qv"), "qid")
+        return ranked(hits.select("qid", "id", l2_distance(F.col("vector"), F.col("qv")).alias("distance")), k)
 
     def set_budget_model(self, model: Any) -> None:
         """A learned budget for plain `hnsw` searches without an explicit ef; None takes it away."""
@@ -423,7 +448,8 @@ class Collection:
     def info(self) -> dict[str, Any]:
         """Name, settings, counts and sizes."""
         last = log.latest_ops(self.ops()).agg(F.count_if(F.col("op") == "U").alias("live"), F.count_if(F.col("op") == "D").alias("deleted")).first()
-        return {"name": self.name, "dim": self.dim, "metric": self.config["metric"], "index": self.config["index"], "count": last.live, "deleted": last.deleted, "index_bytes": self.index_bytes(), "lsn": self.lsn}
+        sizes = {"vector_bytes": last.live * self.dim * 4, "index_bytes": self.index_bytes(), "stored_bytes": self.store.size()}
+        return {"name": self.name, "dim": self.dim, "metric": self.config["metric"], "index": self.config["index"], "count": last.live, "deleted": last.deleted, **sizes, "lsn": self.lsn}
 
     def index_bytes(self) -> int:
         """Bytes of the centroids, codebooks and codes of the snapshot."""
@@ -431,8 +457,17 @@ class Collection:
         total = cells.centroids.size * 8 if cells is not None else 0
         return total + (books.size * 8 + self.manifest["rows"] * len(books) if books is not None else 0)
 
-    def attributes_used(self, filter: str) -> set[str]:
-        return names(parse(filter))
+
+class CellSearch:
+    """Exact search over the cells that a budget reaches; `stats` has the cells probed and the rows compared, as of the snapshot."""
+
+    def __init__(self, cells: ivf.Cells, query: list[float]):
+        self.cells, self.query, self.stats = cells, query, {}
+
+    def __call__(self, records: DataFrame, k: int, ef: int) -> DataFrame:
+        probes = self.cells.probe(np.asarray(self.query, np.float64), ef, k)
+        self.stats = {"probes": len(probes), "ndist": int(self.cells.counts[probes].sum())}
+        return top_k(records.where(F.col("cell").isin(probes) | F.col("cell").isNull()), self.query, k, "id")
 
 
 def clean(value: Any) -> Any:

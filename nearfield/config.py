@@ -5,6 +5,7 @@ from __future__ import annotations
 import copy
 import json
 import math
+import warnings
 from typing import Any
 
 from nearfield.errors import InvalidArgument
@@ -24,6 +25,16 @@ DEFAULTS: dict[str, Any] = {
     "durability": {"fsync": True, "snapshot_every": 200000},
 }
 
+#: Accepted so that clients need no change, but without effect: there is no graph to build and nothing to allocate.
+IGNORED = ("initial_capacity", "hnsw.M", "hnsw.ef_construction", "hnsw.max_level", "hnsw.serial_warmup", "hnsw.batch_fraction", "hnsw.max_batch")
+
+
+def value_at(config: dict, name: str) -> Any:
+    """The setting of a dotted name."""
+    for part in name.split("."):
+        config = config[part]
+    return config
+
 
 def scalar(text: Any) -> Any:
     """A string read as a YAML scalar; anything else as it is."""
@@ -84,6 +95,10 @@ def check(config: dict, dim: int) -> None:
         raise InvalidArgument("pq.ksub is 256: one byte a subspace")
     if config["pq"]["device"] != "cpu":
         raise InvalidArgument("pq.device is cpu")
+    if config["early_stop"]["model"] and config["index"] != "hnsw":
+        raise InvalidArgument("early_stop.model works with hnsw only")
+    if changed := [name for name in IGNORED if value_at(config, name) != value_at(DEFAULTS, name)]:
+        warnings.warn(f"{', '.join(changed)}: without effect, vectors are indexed by cells", stacklevel=3)
     if config["index"] == "hnsw_pq" and (config["pq"]["m"] <= 0 or dim % config["pq"]["m"]):
         raise InvalidArgument(f"{dim} dimensions do not split into {config['pq']['m']} subspaces")
 

@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearfield.errors import InvalidArgument
-from nearfield.operators import kmeans
-from nearfield.operators.topk import matrix, pages, ranked, rerank
+from nearfield.operators import ivf, kmeans
+from nearfield.operators.topk import matrix, merge_nearest, pages, ranked, rerank, top_k_batch
 
 #: Centroids in a codebook: as many as a byte tells apart.
 KSUB = 256
@@ -74,8 +74,20 @@ def code_arrays(encoded: DataFrame) -> DataFrame:
     return encoded.withColumn("code", F.transform(F.sequence(F.lit(1), F.length("code")), one))
 
 
+def code_matrix(column: pa.Array, m: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, m)
+
+
+def nearest_codes(codes: np.ndarray, ids: np.ndarray, table: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, distances) of the k nearest codes of one query; equal distances by id."""
+    d = table_distances(codes, table)
+    some = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1]) if len(d) > k else np.arange(len(d))
+    some = some[np.lexsort((ids[some], d[some]))[:k]]
+    return ids[some], d[some]
+
+
 def scan(encoded: DataFrame, codebooks: np.ndarray, queries: DataFrame, k: int, id: str = "id", page: int = 256) -> DataFrame:
-    """(qid, rank, id, distance): the k nearest codes of every query by table lookup."""
+    """(qid, rank, id, distance): the k nearest codes of every query by table lookup; a task keeps its k nearest a query."""
     spark, parts = encoded.sparkSession, None
     m = len(codebooks)
     for q_ids, q in pages(queries, "qid", "qv", page):
@@ -83,17 +95,18 @@ def scan(encoded: DataFrame, codebooks: np.ndarray, queries: DataFrame, k: int,
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             q_ids, luts = shared.value
+            best: list[tuple] = []
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                ids = np.asarray(batch.column("id"))
-                codes = np.frombuffer(b"".join(batch.column("code").to_pylist()), np.uint8).reshape(-1, m)
-                out: list[tuple] = []
-                for qid, lut in zip(q_ids, luts, strict=True):
-                    d = table_distances(codes, lut)
-                    order = np.lexsort((ids, d))[:k]
-                    out.append((np.full(len(order), qid), ids[order], d[order]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["qid", "id", "distance"])
+                ids, codes = np.asarray(batch.column("id")), code_matrix(batch.column("code"), m)
+                for number, lut in enumerate(luts):
+                    own, d = nearest_codes(codes, ids, lut, k)
+                    best.append((np.full(len(own), number), own, d))
+                best = [merge_nearest(best, k)]
+            if best:
+                row, own, d = best[0]
+                yield pa.RecordBatch.from_arrays([pa.array(q_ids[row]), pa.array(own), pa.array(d)], names=["qid", "id", "distance"])
 
         part = encoded.select(F.col(id).cast("long").alias("id"), "code").mapInArrow(run, "qid long, id long, distance double")
         parts = part if parts is None else parts.union(part)
@@ -102,15 +115,70 @@ def scan(encoded: DataFrame, codebooks: np.ndarray, queries: DataFrame, k: int,
     return ranked(parts, k).withColumnRenamed("id", id)
 
 
+def pool(coded: DataFrame, codebooks: np.ndarray, query: np.ndarray, k: int, id: str = "id") -> DataFrame:
+    """(id) of the k codes nearest to one query, ids of any kind; a task keeps its k nearest."""
+    shared = coded.sparkSession.sparkContext.broadcast(tables(query[None, :], codebooks)[0])
+    kind = coded.schema[id].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, d = None, np.empty(0)
+        for batch in batches:
+            if batch.num_rows:
+                own = batch.column("id") if ids is None else pa.concat_arrays([ids, batch.column("id")])
+                d = np.concatenate((d, table_distances(code_matrix(batch.column("code"), len(shared.value)), shared.value)))
+                some = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1]) if len(d) > k else np.arange(len(d))
+                ids, d = own.take(pa.array(some)), d[some]
+        if ids is not None:
+            yield pa.RecordBatch.from_arrays([ids, pa.array(d)], names=["id", "distance"])
+
+    found = coded.select(F.col(id).alias("id"), "code").mapInArrow(run, f"id {kind}, distance double")
+    return found.orderBy("distance", "id").limit(k).select(F.col("id").alias(id))
+
+
+def tune_depth(encoded: DataFrame, codebooks: np.ndarray, k: int = 10, target: float = ivf.TARGET, id: str = "id", vector: str = "vector") -> int:
+    """How many of the nearest codes hold `target` of the true k neighbours of sample queries.
+
+    The queries are vectors of the collection itself, those whose ids hash lowest.  Where each true neighbour stands
+    among the codes is counted in one pass over them, so no pool has to be tried.
+    """
+    spark = encoded.sparkSession
+    rows = encoded.orderBy(F.xxhash64(id), id).limit(ivf.LEARN_QUERIES).select(vector).collect()
+    x = np.array([r[0] for r in rows], np.float64)
+    frame = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "qid long, qv array<double>")
+    keyed = encoded.select(F.xxhash64(id).alias("key"), vector, "code")
+    truth = top_k_batch(keyed, frame, k, "key", vector).join(keyed.select("key", "code"), "key").select("qid", "code").collect()
+    if not truth:
+        return k
+    luts = tables(x, codebooks)
+    bounds: list[list[float]] = [[] for _ in rows]
+    for r in truth:
+        bounds[r.qid].append(float(table_distances(np.frombuffer(r.code, np.uint8)[None, :], luts[r.qid])[0]))
+    shared = spark.sparkContext.broadcast((luts, [np.sort(b) for b in bounds]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        luts, bounds = shared.value
+        nearer = [np.zeros(len(b), np.int64) for b in bounds]
+        for batch in batches:
+            if batch.num_rows:
+                codes = code_matrix(batch.column("code"), luts.shape[1])
+                for lut, bound, n in zip(luts, bounds, nearer, strict=True):
+                    n += np.searchsorted(np.sort(table_distances(codes, lut)), bound - 1e-9, "right")
+        places = np.concatenate([np.arange(len(n)) + (i << 20) for i, n in enumerate(nearer)])
+        yield pa.RecordBatch.from_arrays([pa.array(places), pa.array(np.concatenate(nearer))], names=["place", "n"])
+
+    ranks = sorted(r.n for r in encoded.select("code").mapInArrow(run, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).collect())
+    return max(k, int(ranks[min(len(ranks) - 1, int(np.ceil(target * len(ranks))) - 1)]) + 1)
+
+
 def rerank_depth(k: int, ef: int, factor: int = 2, most: int = 3000) -> int:
     """How many candidates are looked at exactly."""
     return max(k, min(most, factor * ef))
 
 
-def search(encoded: DataFrame, codebooks: np.ndarray, queries: DataFrame, k: int, ef: int, id: str = "id", vector: str = "vector", factor: int = 2, most: int = 3000) -> DataFrame:
-    """The k nearest of every query: a pool by codes, then exact distances."""
-    pool = scan(encoded, codebooks, queries, rerank_depth(k, ef, factor, most), id)
-    return rerank(pool, encoded, queries, k, id, vector)
+def search(encoded: DataFrame, codebooks: np.ndarray, queries: DataFrame, k: int, ef: int, id: str = "id", vector: str = "vector", factor: int = 2, most: int = 3000, depth: int = 0) -> DataFrame:
+    """The k nearest of every query: a pool by codes (of `depth`, as `tune_depth` measures it, at least), then exact distances."""
+    found = scan(encoded, codebooks, queries, max(depth, rerank_depth(k, ef, factor, most)), id)
+    return rerank(found, encoded, queries, k, id, vector)
 
 
 def reconstruction_error(encoded: DataFrame, codebooks: np.ndarray, id: str = "id", vector: str = "vector") -> DataFrame:

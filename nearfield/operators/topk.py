@@ -11,6 +11,7 @@ Equal distances go to the smaller id, so results do not depend on partitioning.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -54,16 +55,10 @@ def matrix(column: pa.Array) -> np.ndarray:
 
 
 def pages(queries: DataFrame, qid: str, qv: str, size: int = PAGE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The queries in pages (ids, vectors) in order of id; ids must be distinct."""
-    last = None
-    ordered = queries.select(F.col(qid).cast("long").alias("qid"), F.col(qv).alias("qv"))
-    while True:
-        rows = (ordered if last is None else ordered.where(F.col("qid") > last)).orderBy("qid").limit(size).collect()
-        if rows:
-            yield np.array([r.qid for r in rows], np.int64), np.array([r.qv for r in rows], np.float64)
-        if len(rows) < size:
-            return
-        last = rows[-1].qid
+    """The queries in pages (ids, vectors) in order of id: sorted once, then a partition of them at a time on the driver."""
+    rows = queries.select(F.col(qid).cast("long").alias("qid"), F.col(qv).alias("qv")).orderBy("qid").toLocalIterator()
+    while some := list(islice(rows, size)):
+        yield np.array([r.qid for r in some], np.int64), np.array([r.qv for r in some], np.float64)
 
 
 def direct(x: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -102,34 +97,48 @@ def by_query(allowed: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield np.flatnonzero(allowed[:, j]), np.array([j])
 
 
+def by_value(values: np.ndarray, visitors: dict[int, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The rows of each value that queries look at, and those queries."""
+    order = np.argsort(values, kind="stable")
+    for some in np.split(order, np.flatnonzero(np.diff(values[order])) + 1):
+        if (numbers := visitors.get(int(values[some[0]]))) is not None:
+            yield some, numbers
+
+
 def ranked(candidates: DataFrame, k: int, id: str = "id") -> DataFrame:
     """The k nearest of each query among candidates (qid, id, distance), with their rank from 1."""
     order = Window.partitionBy("qid").orderBy("distance", id)
     return candidates.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("qid", "rank", id, "distance")
 
 
-def top_k_batch(base: DataFrame, queries: DataFrame, k: int, id: str = "id", vector: str = "vector", qid: str = "qid", qv: str = "qv", page: int = PAGE, mask: Callable | None = None, groups: Callable | None = None, extra: tuple[str, ...] = ()) -> DataFrame:
+def top_k_batch(base: DataFrame, queries: DataFrame, k: int, id: str = "id", vector: str = "vector", qid: str = "qid", qv: str = "qv", page: int = PAGE, mask: Callable | None = None, by: str | None = None, groups: Callable | None = None, extra: tuple[str, ...] = ()) -> DataFrame:
     """(qid, rank, id, distance): the k nearest rows of `base` (id: a long) for every query.
 
     `mask(batch, query ids)`, if given, says which rows (of a batch that also has the columns `extra`) are
-    candidates of which queries, as a matrix of booleans; `groups(batch, query ids)` says the same as pairs (rows,
-    numbers of queries) that belong together, each of which is one matrix product.
+    candidates of which queries, as a matrix of booleans.  `groups(vectors)`, if given, is asked on the driver for each
+    page of queries: a dictionary from values of the column `by` to the numbers of the queries that look at rows
+    of that value.  Rows of other values are not read, and each group is one matrix product.
     """
     spark, parts = base.sparkSession, None
-    scan = base.select(F.col(id).cast("long").alias("id"), F.col(vector).alias("vector"), *extra)
+    scan = base.select(F.col(id).cast("long").alias("id"), F.col(vector).alias("vector"), *([by] if by else []), *extra)
     for q_ids, q in pages(queries, qid, qv, page):
-        shared = spark.sparkContext.broadcast((q_ids, q))
+        visitors = groups(q) if groups else None
+        shared = spark.sparkContext.broadcast((q_ids, q, visitors))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            q_ids, q = shared.value
+            q_ids, q, visitors = shared.value
             best: list[tuple] = []
             for batch in batches:
                 if not batch.num_rows:
                     continue
                 x, ids = matrix(batch.column("vector")), np.asarray(batch.column("id"))
-                if mask is None and groups is None:
-                    best.append(nearest(x, ids, q, k))
-                for some, numbers in groups(batch, q_ids) if groups else by_query(mask(batch, q_ids)) if mask else ():
+                if visitors is not None:
+                    some_groups = by_value(np.asarray(batch.column(by)), visitors)
+                elif mask is not None:
+                    some_groups = by_query(mask(batch, q_ids))
+                else:
+                    some_groups = [(slice(None), np.arange(len(q)))]
+                for some, numbers in some_groups:
                     row, own, d = nearest(x[some], ids[some], q[numbers], k)
                     best.append((numbers[row], own, d))
                 if best:
@@ -138,7 +147,8 @@ def top_k_batch(base: DataFrame, queries: DataFrame, k: int, id: str = "id", vec
                 row, own, d = best[0]
                 yield pa.RecordBatch.from_arrays([pa.array(q_ids[row]), pa.array(own), pa.array(d)], names=["qid", "id", "distance"])
 
-        part = scan.mapInArrow(run, "qid long, id long, distance double")
+        rows = scan if visitors is None else scan.where(F.col(by).isin(sorted(visitors)))
+        part = rows.mapInArrow(run, "qid long, id long, distance double")
         parts = part if parts is None else parts.union(part)
     if parts is None:
         parts = spark.createDataFrame([], "qid long, id long, distance double")

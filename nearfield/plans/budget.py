@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from nearfield.operators import ivf, kmeans
 from nearfield.operators.topk import pages, top_k_batch
+from nearfield.sources.log import Store
 
 FEATURES = ("log_nearest", "best_over_entry", "kth_over_entry", "kth_over_best", "next_over_kth", "log_near_cells", "step", "log_probed", "log_rows", "fill", "selectivity", "log_n")
 #: Ratios are cut off here.
@@ -88,6 +89,18 @@ class BudgetModel:
         return cls([Tree(**t) for t in d["trees"]], d["weights"], d["multiplier"])
 
 
+def save(spark: SparkSession, model: BudgetModel, path: str) -> None:
+    """Write a model as one file, on any file system that Spark reaches."""
+    folder, name = path.rsplit("/", 1)
+    Store(spark, folder).write_text(model.dumps(), name)
+
+
+def load(spark: SparkSession, path: str) -> BudgetModel:
+    """The model that `save` wrote."""
+    folder, name = path.rsplit("/", 1)
+    return BudgetModel.loads(Store(spark, folder).read_text(name))
+
+
 def flatten(node) -> Tree:
     """A Spark ML tree (its root, on the JVM) in flat arrays."""
     tree = Tree([], [], [], [], [])

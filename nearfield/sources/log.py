@@ -15,8 +15,8 @@ DIGITS = 20
 class Store:
     """Files and directories below a root, by Hadoop's file system interface: local paths, HDFS, object stores."""
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, fsync: bool = True):
+        self.spark, self.root, self.fsync = spark, root.rstrip("/"), fsync
         jvm = spark._jvm
         self.to_path = jvm.org.apache.hadoop.fs.Path
         self.fs = self.to_path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
@@ -53,7 +53,8 @@ class Store:
         aside = (*parts[:-1], f".{parts[-1]}.tmp")
         stream = self.fs.create(self.at(*aside), True)
         stream.write(bytearray(text.encode()))
-        stream.hsync()
+        if self.fsync:
+            stream.hsync()
         stream.close()
         option = self.spark._jvm.org.apache.hadoop.fs.Options.Rename
         context = self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.at().toUri(), self.spark._jsc.hadoopConfiguration())
@@ -70,14 +71,6 @@ def batch_name(lsn: int) -> str:
     return f"{lsn:0{DIGITS}d}"
 
 
-def append(store: Store, lsn: int, ops: DataFrame) -> None:
-    """Write one batch; it is durable when this returns."""
-    name = batch_name(lsn)
-    store.remove("log", f".{name}.tmp")
-    ops.write.parquet(f"{store.root}/log/.{name}.tmp")
-    store.move(("log", f".{name}.tmp"), ("log", name))
-
-
 def batches(store: Store, after: int = 0) -> list[int]:
     """The LSNs of the batches behind `after`, without a gap."""
     found = [int(n) for n in store.names("log") if n.isdigit() and int(n) > after]

@@ -7,7 +7,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: Bytes of a file that one task decodes at a time, at most; files are read whole by binaryFile.
 ROWS = 4096
@@ -73,8 +72,3 @@ def embedded(texts: DataFrame, embed, dim: int, text: str = "text") -> DataFrame
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(x), pa.list_(pa.float32()))], names=[*batch.schema.names, "vector"])
 
     return texts.mapInArrow(run, schema)
-
-
-def sizes(df: DataFrame, vector: str = "vector") -> DataFrame:
-    """One row: vectors, and the bytes of their components."""
-    return df.agg(F.count("*").alias("n"), (F.sum(F.size(vector)) * 4).alias("bytes"))
