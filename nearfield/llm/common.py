@@ -15,11 +15,26 @@ from pyspark.sql import functions as F
 #: Rows per Arrow batch sent to Python workers.  Documents are kilobytes, so the default of 10,000 rows
 #: would hold tens of megabytes at once.
 ARROW_ROWS = 500
+ARROW, BEFORE = "spark.sql.execution.arrow.maxRecordsPerBatch", "nearfield.arrow.before"
 
 
 def prepare(spark: SparkSession) -> None:
-    """Bound the Arrow batches that the operators' Python stages receive."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    """Bound the Arrow batches that the operators' Python stages receive; `restore` gives the session its own size back."""
+    before = spark.conf.get(ARROW, None)
+    if before != str(ARROW_ROWS):
+        spark.conf.set(BEFORE, before or "")
+        spark.conf.set(ARROW, str(ARROW_ROWS))
+
+
+def restore(spark: SparkSession) -> None:
+    """Undo `prepare`; results of the operators that are still to be computed then get larger batches."""
+    before = spark.conf.get(BEFORE, None)
+    if before is not None:
+        spark.conf.unset(BEFORE)
+        if before:
+            spark.conf.set(ARROW, before)
+        else:
+            spark.conf.unset(ARROW)
 
 
 def shared_dir(spark: SparkSession) -> str:
