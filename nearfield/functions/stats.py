@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,50 +28,42 @@ def value_frequencies(records: DataFrame, name: str) -> DataFrame:
 def order_statistics(records: DataFrame, columns: list[str], points: int = QUANTILES) -> dict[str, list[float]]:
     """Exact quantiles of each column at `points` equal steps, interpolated between the values around each.
 
-    Equal values are counted first, so a value that very many rows have is one row of the sort.  All columns are
-    sorted together; only the partitions' counts and the values at the wanted places reach the driver.
+    All columns are sorted together across partitions, which are ranges of (column, value, row), so that a value that
+    very many rows have is spread over partitions as well.  Only the partitions' counts and the values at the wanted places reach
+    the driver.
     """
     spark = records.sparkSession
-    each = F.explode(F.array(*(F.struct(F.lit(i).alias("attr"), F.col(c).cast("double").alias("v")) for i, c in enumerate(columns))))
-    counted = records.select(each.alias("e")).select("e.*").where("v is not null").groupBy("attr", "v").agg(F.count("*").alias("n"))
-    ordered = counted.sort("attr", "v").withColumn("part", F.spark_partition_id()).persist()
+    numbers = records.select(*(F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)), F.monotonically_increasing_id().alias("id"))
+    each = F.explode(F.array(*(F.struct(F.lit(i).alias("attr"), F.col(f"c{i}").alias("v")) for i in range(len(columns)))))
+    keys = ["attr", "v"] if len(columns) > 1 else ["v"]
+    rows = numbers.select("id", each.alias("e")).select("e.attr", "e.v", "id") if len(columns) > 1 else numbers.select(F.lit(0).alias("attr"), F.col("c0").alias("v"), "id")
+    ordered = rows.where("v is not null").repartitionByRange(*keys, "id").sortWithinPartitions(*keys)
+    at = F.monotonically_increasing_id()
+    placed = ordered.select("attr", "v", F.shiftright(at, 33).alias("part"), at.bitwiseAND(F.lit((1 << 33) - 1)).alias("row")).persist()
     try:
-        held = {(r.attr, r.part): r.n for r in ordered.groupBy("attr", "part").agg(F.sum("n").alias("n")).collect()}
-        wanted: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        where: dict[int, list[float]] = {}
+        held = placed.groupBy("part", "attr").agg(F.count("*").alias("n"), F.min("row").alias("first")).collect()
+        where, wanted = {}, []
         for attr in range(len(columns)):
-            parts = sorted(p for a, p in held if a == attr)
-            ends = np.cumsum([held[attr, p] for p in parts])
+            parts = sorted((r for r in held if r.attr == attr), key=lambda r: r.part)
             if not parts:
                 continue
+            ends = np.cumsum([r.n for r in parts])
             n = int(ends[-1])
             where[attr] = [i * (n - 1) / (points - 1) for i in range(points)]
             for place in sorted({int(w) for w in where[attr]} | {min(n - 1, int(w) + 1) for w in where[attr]}):
                 k = int(np.searchsorted(ends, place, "right"))
-                wanted.setdefault((attr, parts[k]), []).append((place, place - (int(ends[k - 1]) if k else 0)))
-        shared = spark.sparkContext.broadcast(wanted)
-
-        def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            before: dict[int, int] = {}
-            for batch in filter(len, batches):
-                attrs, parts, values, counts = (np.asarray(batch.column(c)) for c in ("attr", "part", "v", "n"))
-                for attr in np.unique(attrs).tolist():
-                    own = attrs == attr
-                    ends = before.get(attr, 0) + np.cumsum(counts[own])
-                    places = [(place, row) for place, row in shared.value.get((attr, int(parts[0])), ()) if before.get(attr, 0) <= row < ends[-1]]
-                    before[attr] = int(ends[-1])
-                    if places:
-                        place, row = zip(*places, strict=True)
-                        yield pa.RecordBatch.from_arrays([pa.array([attr] * len(place), pa.int32()), pa.array(place, pa.int64()), pa.array(values[own][np.searchsorted(ends, row, "right")])], names=["attr", "place", "v"])
-
-        values = {(r.attr, r.place): r.v for r in ordered.select("attr", "part", "v", "n").mapInArrow(pick, "attr int, place long, v double").collect()}
+                wanted.append((parts[k].part, parts[k].first + place - int(ends[k] - parts[k].n), place))
+        picks = spark.createDataFrame(wanted, "part long, row long, place long")
+        values = {(r.attr, r.place): r.v for r in placed.join(F.broadcast(picks), ["part", "row"]).select("attr", "place", "v").collect()}
     finally:
-        ordered.unpersist()
+        placed.unpersist()
     found = {}
     for attr, name in enumerate(columns):
-        steps, last = where.get(attr, []), max((place for a, place in values if a == attr), default=0)
-        at = lambda place, attr=attr, last=last: values[attr, min(last, place)]
-        found[name] = [at(int(w)) + (w - int(w)) * (at(int(w) + 1) - at(int(w))) for w in steps]
+        steps = where.get(attr, [])
+        found[name] = []
+        for w in steps:
+            low, high = values[attr, int(w)], values[attr, min(int(steps[-1]), int(w) + 1)]
+            found[name].append(low + (w - int(w)) * (high - low))
     return found
 
 

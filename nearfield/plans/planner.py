@@ -120,14 +120,16 @@ def filtered_search(
     plan = planner.plan(node, records, kinds, stats, n, strategy, exact_index=near is None and strategy is None)
     search = near or (lambda rows, k, ef: top_k(rows, query, k, id))
     counters = lambda: getattr(near, "stats", {})
+    # An index counts all rows of a cell, a bitmap search those that match.
+    reach = lambda budget: math.ceil(budget / max(plan.selectivity, 1e-3))
     if plan.strategy == "brute_force":
         return Found(top_k(records.where(predicate), query, k, id), plan.strategy, 0, plan.selectivity)
     if plan.strategy == "bitmap":
         rows = planner.mask(node, records, kinds, version) if near is None else records.where(predicate)
         if near is not None and learned is not None:
-            found = search(rows, k, learned(plan.selectivity))
+            found = search(rows, k, reach(learned(plan.selectivity)))
             return Found(found, "bitmap+early_stop", counters().get("probes", 0), plan.selectivity, counters())
-        return Found(search(rows, k, ef), plan.strategy, ef, plan.selectivity, counters())
+        return Found(search(rows, k, reach(ef)), plan.strategy, ef, plan.selectivity, counters())
     fetch = planner.fetch(k, plan.selectivity)
     ef_post = min(max(ef, fetch), planner.post_filter_max_ef)
     # The filter stands above the limit, so Catalyst leaves it there.
@@ -136,7 +138,7 @@ def filtered_search(
         # At most post_filter_max_ef rows: collected, so that the search is not run again when they are read.
         got = rows.collect()
         if len(got) < k:
-            return Found(search(records.where(predicate), k, ef), "post_filter+bitmap", ef, plan.selectivity, counters())
+            return Found(search(records.where(predicate), k, reach(ef)), "post_filter+bitmap", ef, plan.selectivity, counters())
         rows = records.sparkSession.createDataFrame(got, rows.schema)
     return Found(rows, plan.strategy, ef_post, plan.selectivity, counters())
 

@@ -166,6 +166,80 @@ def test_index(spark, make, clustered, tmp_path):
     assert ann.search(clustered[1], 10, ef=64).info.strategy == "hnsw"
 
 
+def test_live_index(spark, make, clustered, tmp_path):
+    """Rows that are logged behind a snapshot have cells and codes, and are found by single and batch search."""
+    options = {"durability.snapshot_every": 0, "pq.train_size": 1000, "pq.m": 4, "pq.kmeans_iters": 5}
+    ids = [f"v{i}" for i in range(2000)]
+    frame = vecs.from_numpy(spark, clustered[1490:1530]).toDF("qid", "qv")
+    for name in ("hnsw", "hnsw_pq"):
+        c = make(name=name, index=name, **options)
+        c.upsert(ids[:1500], clustered[:1500])
+        assert c.tail == [1] and c.search(clustered[3], 1).ids == ["v3"]
+        c.snapshot()
+        c.upsert(ids[1500:], clustered[1500:], [{"n": i} for i in range(500)])
+        c.upsert(["v7"], clustered[1999:] + 50)
+        c.delete(["v1500", "v9"])
+        tail = spark.read.parquet(f"{c.store.root}/log/00000000000000000002")
+        assert tail.where("cell is null").count() == 0 and ("code" in tail.columns) == (name == "hnsw_pq")
+        alive = np.array([i for i in range(2000) if i not in (7, 9, 1500)])
+        d = ((clustered[1490:1530, None].astype(np.float64) - clustered[None, alive]) ** 2).sum(axis=2)
+        want = {(k, f"v{alive[j]}") for k in range(40) for j in np.argsort(d[k], kind="stable")[:5]}
+        got = c.search_batch(frame, 5).collect()
+        assert len(got) == 200 and len(want & {(r.qid, r.id) for r in got}) >= 190
+        assert all(r.distance == pytest.approx(((clustered[1490 + r.qid].astype(np.float64) - clustered[int(r.id[1:])]) ** 2).sum()) for r in got)
+        found = c.search(clustered[1700], 5, include_attributes=True)
+        assert found.ids[0] == "v1700" and found.attributes[0] == {"n": 200.0}
+        assert 0 < found.info.stats["probes"] <= len(c.cells().counts) and found.info.stats["ndist"] <= 1500
+        assert (found.info.stats.get("reranked", 0) >= 128) == (name == "hnsw_pq")
+        assert sorted(r.id for r in c.get(["v7", "v9", "v10", "nobody"]).collect()) == ["v10", "v7"]
+        assert c.records().count() == 1998 and "cell" not in c.records().columns
+        info = c.info()
+        assert info["vector_bytes"] == 1998 * 64 and info["stored_bytes"] > 0
+
+
+def test_learned_budget_under_filter(spark, make, clustered, tmp_path):
+    c = make(name="a", index="hnsw", **{"durability.snapshot_every": 0})
+    c.upsert([f"v{i}" for i in range(2000)], clustered, [{"price": float(i % 100)} for i in range(2000)])
+    c.snapshot()
+    base = c.indexed().selectExpr("xxhash64(id) AS id", "vector", "cell").persist()
+    model = budget.train(budget.training_rows(spark, base, c.cells(), vecs.from_numpy(spark, clustered[:100]).toDF("qid", "qv"), 10), trees=3)
+    budget.save(spark, model, str(tmp_path / "model.json"))
+    c.set_budget_model(model)
+    found = c.search(clustered[5], 10, "price < 5")
+    assert found.info.strategy == "bitmap+early_stop" and found.info.ef == found.info.stats["probes"] > 0 and len(found.ids) == 10
+    assert c.search(clustered[5], 10, "price < 5", ef=64).info.strategy == "bitmap"
+    assert c.search(clustered[5], 3, "price < 1").info.strategy == "brute_force"
+    assert c.search(clustered[5], 3, "price < 50").info.strategy.startswith("post_filter")
+    saved = make(name="b", **{"early_stop.model": str(tmp_path / "model.json"), "early_stop.multiplier": 2.0})
+    assert saved.budget_model.multiplier == 2.0 and saved.budget_model.dumps() == model.dumps().replace('"multiplier": 1.0', '"multiplier": 2.0')
+    with pytest.raises(InvalidArgument):
+        make(name="d", index="flat", **{"early_stop.model": "x"})
+
+
+def test_settings_without_effect(make):
+    with pytest.warns(UserWarning, match="hnsw.M, hnsw.max_batch"):
+        make(**{"hnsw.M": 32, "hnsw.max_batch": 5})
+    assert not make(name="d", **{"durability.fsync": "no"}).store.fsync
+
+
+def test_equal_ids_need_an_order(spark, make, clustered):
+    c = make(index="flat")
+    twice = spark.createDataFrame([("a", clustered[0].tolist(), 1), ("a", clustered[1].tolist(), 2)], "id string, vector array<float>, seq int")
+    with pytest.raises(InvalidArgument):
+        c.upsert_frame(twice)
+    assert c.upsert_frame(twice, "seq") == 2 and c.search(clustered[1], 1).distances == [0.0]
+
+
+def test_frequencies_of_many_strings(spark, make, clustered, tmp_path):
+    c = make(index="flat", **{"planner.exact_selectivity_below": 0})
+    c.upsert([f"v{i}" for i in range(1200)], clustered[:1200], [{"name": f"s{i % 300}", "n": i} for i in range(1200)])
+    c.snapshot()
+    (tmp_path / "c").rename(tmp_path / "moved")
+    again = Collection.open(spark, str(tmp_path / "moved"))
+    found = again.search(clustered[6], 5, "name == 's6' OR name == 'none'")
+    assert found.info.selectivity == pytest.approx(4 / 1200) and sorted(found.ids) == ["v306", "v6", "v606", "v906"]
+
+
 def test_forest_equals_spark(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(300, 12))

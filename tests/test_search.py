@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pytest
 
@@ -80,6 +82,54 @@ def test_cells(spark, base, queries, clustered):
     assert [r.id for r in one.collect()] == exact(clustered, q[3], 10, np.arange(0, 2000, 2))[0]
 
 
+def test_probes(spark, base, queries):
+    """Probes of many queries at once are those of a full ranking; pages of queries change no result."""
+    q, frame = queries
+    rng = np.random.default_rng(2)
+    cells = ivf.Cells(rng.normal(size=(300, 16)) * 5, rng.integers(0, 9, 300))
+    for ef in (1, 20, 100, 10_000):
+        for one, got in zip(q.astype(np.float64), cells.probes(q.astype(np.float64), ef, 10), strict=True):
+            order = cells.ranked(one)
+            enough = np.searchsorted(np.cumsum(cells.counts[order]), max(8 * ef, 10)) + 1
+            assert got.tolist() == order[:enough].tolist() == cells.probe(one, ef, 10)
+    ordered, centroids = ivf.build(base, cells=40)
+    ordered, cells = ordered.persist(), ivf.cells_of(ordered, centroids)
+    assert lists(ivf.search_batch(ordered, cells, frame, 10, 4, page=7)) == lists(ivf.search_batch(ordered, cells, frame, 10, 4))
+    assert lists(topk.top_k_batch(base, frame, 10, page=9)) == lists(topk.top_k_batch(base, frame, 10))
+    assert [len(ids) for ids, _ in topk.pages(frame, "qid", "qv", 15)] == [15, 15, 10] and topk.top_k_batch(base, frame.limit(0), 3).count() == 0
+
+
+def test_normalize_wide_vectors(spark):
+    """The length is taken once for each vector, not for each component."""
+    x = np.random.default_rng(0).normal(size=(300, 768)).astype(np.float32)
+    x[7] = 0
+    df = vecs.from_numpy(spark, x)
+    begin = time.perf_counter()
+    got = np.array([r.v for r in df.select("row", l2_normalize(F.col("vector")).alias("v")).orderBy("row").collect()])
+    assert time.perf_counter() - begin < 20
+    length = np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    assert np.allclose(got, x / np.where(length == 0, 1, length))
+
+
+def test_pool_depth(spark, queries):
+    """Vectors that codes tell apart badly: the measured pool is deep enough, the formula's is not."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(6000, 16)).astype(np.float32)
+    base = vecs.from_numpy(spark, x).withColumnRenamed("row", "id")
+    books = pq.train(x[:2000], 2, 4)
+    encoded = pq.encode(base, books).persist()
+    frame = vecs.from_numpy(spark, x[:60] + rng.normal(size=(60, 16)).astype(np.float32) * 0.1).toDF("qid", "qv")
+    truth = topk.top_k_batch(base, frame, 10)
+    depth = pq.tune_depth(encoded, books, 10, 0.95)
+    assert 10 < depth < 6000
+    shallow, deep = (metrics.recall(pq.search(encoded, books, frame, 10, 5, depth=d), truth, 10).first().recall for d in (0, depth))
+    assert deep >= 0.9 > shallow
+    q = x[5].astype(np.float64)
+    d = pq.table_distances(pq.codes_of(x.astype(np.float64), books), pq.tables(q[None, :], books)[0])
+    assert [r.id for r in pq.pool(encoded, books, q, 20).collect()] == np.lexsort((np.arange(6000), d))[:20].tolist()
+    assert lists(pq.scan(encoded, books, frame, 8, page=25)) == lists(pq.scan(encoded, books, frame, 8))
+
+
 def test_kmeans(spark, base, clustered):
     a, b = (kmeans.fit(clustered, 20, 10, 3) for _ in range(2))
     assert np.array_equal(a, b) and len(kmeans.fit(clustered[:5], 20)) == 5
