@@ -31,6 +31,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import reduce
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -60,10 +61,12 @@ def seed_hashes(ids: np.ndarray, mask: str) -> tuple[np.ndarray, np.ndarray]:
     if n <= 0:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
     counted = [i for i, c in enumerate(mask) if c == "1"]
-    known = np.ones(n, bool)
+    known, one = np.ones(n, bool), ids > 0
     for i in counted:
-        known &= ids[i : i + n] > 0
+        known &= one[i : i + n]
     places = np.flatnonzero(known)
+    if not len(places):
+        return places, np.empty(0, np.uint64)
     hashes = np.zeros(len(places), np.uint64)
     for k, i in enumerate(counted):
         hashes += ids[places + i].astype(np.uint64) * FACTORS[k]
@@ -116,6 +119,8 @@ class SeedTable:
             return (np.empty(0, np.int64),) * 3
         group = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
         some = np.flatnonzero(self.hashes[group] == hashes)
+        if not len(some):
+            return (np.empty(0, np.int64),) * 3
         at, group = at[some], group[some]
         # A text's place without a hit before it has a number that no item has.
         before = np.full(len(at), self.width - 1, np.int64)
@@ -150,6 +155,8 @@ class TestItems:
         width, found = len(ids) + self.longest + 1, np.empty(0, np.int64)
         for table in self.tables:
             place, first, last = table.ranges(ids)
+            if not len(place):
+                continue
             size = last - first
             total = np.concatenate(([0], np.cumsum(size)))
             for begin in range(0, int(total[-1]), SLICE):
@@ -162,8 +169,7 @@ class TestItems:
 
     def alongside(self, text: str) -> Iterator[tuple[int, tuple[int, int, int, int]]]:
         """(item number, (first token in the text, tokens, matching tokens, tokens of the item)) of every diagonal with an overlap fuller than those before."""
-        get = self.words.get
-        ids = np.fromiter((get(w, 0) for w in TOKEN.findall(text.lower())), dtype=np.int64)
+        ids = np.fromiter(map(self.words.get, TOKEN.findall(text.lower()), repeat(0)), dtype=np.int64)
         best: dict[int, int] = {}
         for number, diagonal in self.hits(ids).tolist():
             item = self.ids[number]
