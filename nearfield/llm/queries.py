@@ -25,8 +25,7 @@ def tokenizer_path() -> str:
 
 
 def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = repeats.remove_repeats(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", F.make_valid_utf8(F.col("kept").cast("string")).alias("kept"))
+    return repeats.digest(repeats.remove_repeats(table(spark, sf_dir, "documents")))
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,4 +85,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": lines.ORACLE, "op7_topk": topk.ORACLE}
+    return {"op1_repeats": repeats.ORACLE, "op4_line_dedup": lines.ORACLE, "op7_topk": topk.ORACLE}

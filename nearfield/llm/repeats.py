@@ -293,3 +293,30 @@ def remove_repeats(documents: DataFrame, crowd: int = CROWD) -> DataFrame:
     windows = segments.select("doc", "version", "place", "core", "context").join(found, ["core", "context"])
     windows = windows.groupBy("doc", "version").agg(F.collect_set(F.struct("place", "mask")).alias("windows"))
     return remove(docs, windows)
+
+
+def digest(result: DataFrame) -> DataFrame:
+    """The contract's columns of `remove_repeats`, and the remaining text: null where a cut went through a character."""
+    text = F.try_validate_utf8(F.col("kept").cast("string"))
+    return result.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", text.alias("kept"))
+
+
+#: By the digest of every window; n numbers the rows, so repeated rows are documents of their own.
+ORACLE = """
+WITH d AS (SELECT row_number() OVER () AS n, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT n, unnest(range(1, octet_length(b) - 398)) AS i, b FROM d WHERE octet_length(b) >= 400),
+h AS (SELECT n, i, md5(array_slice(b, i, i + 399)) AS k FROM w),
+again AS (SELECT k FROM h GROUP BY k HAVING count(*) > 1),
+s AS (SELECT n, i, i - coalesce(lag(i) OVER (PARTITION BY n ORDER BY i) + 400, -1) > 0 AS fresh FROM h SEMI JOIN again USING (k)),
+g AS (SELECT n, i, sum(CASE WHEN fresh THEN 1 ELSE 0 END) OVER (PARTITION BY n ORDER BY i) AS g FROM s),
+r AS (SELECT n, g, min(i) AS a, max(i) + 400 AS z FROM g GROUP BY 1, 2),
+cut AS (SELECT n, count(*) AS n_spans, sum(z - a) AS n_removed FROM r GROUP BY 1),
+p AS (
+  SELECT n, z AS a, lead(a) OVER (PARTITION BY n ORDER BY a) AS z FROM r
+  UNION ALL SELECT n, 1, min(a) FROM r GROUP BY n
+  UNION ALL SELECT n, 1, NULL FROM d WHERE n NOT IN (SELECT n FROM r)),
+kept AS (SELECT n, unhex(coalesce(string_agg(hex(array_slice(b, p.a, coalesce(p.z - 1, octet_length(b)))), '' ORDER BY p.a), '')) AS b FROM p JOIN d USING (n) GROUP BY n)
+SELECT d.doc_id, CAST(octet_length(d.b) AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(kept.b) AS kept_sha256, TRY(decode(kept.b)) AS kept
+FROM d JOIN kept USING (n) LEFT JOIN cut USING (n)
+"""

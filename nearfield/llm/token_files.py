@@ -17,7 +17,8 @@ The width is the one at which a given share of the block's differences fits (a p
 fit keeps its low bits in place and its high part in the exception list.  Block starts make every block
 readable alone, so a document is read without decoding those before it.
 
-Shards are rows of a Parquet table (part, shard, first, n_ids, image), written by Spark's writers: any store that
+Shards are rows of a Parquet table (part, shard, first, n_ids, low, high, image; low and high are its smallest and
+largest doc_id, so that Parquet's statistics lead a lookup to the shards that hold a document), written by Spark's writers: any store that
 Spark reaches will do, and a lost task is simply run again.  Documents are range-partitioned by doc_id, so
 parts, shards and documents are in ascending order throughout.
 
@@ -30,6 +31,8 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -114,7 +117,7 @@ class Shard:
 
 
 def write_shards(documents: DataFrame, tokenizer_path: str, shard_ids: int = SHARD_IDS, block: int = BLOCK, percentile: float = PERCENTILE) -> DataFrame:
-    """(part, shard, first, n_ids, image): the documents' ids, each document closed by the end id, written and read back.
+    """(part, shard, first, n_ids, low, high, image): the documents' ids, each document closed by the end id, written and read back.
 
     `first` counts the part's ids before the shard.
     """
@@ -126,7 +129,7 @@ def write_shards(documents: DataFrame, tokenizer_path: str, shard_ids: int = SHA
         doc_ids, ids, total = [], [], 0
 
         def image() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([first], pa.int64()), pa.array([total], pa.int64()), pa.array([pack_shard(doc_ids, ids, block, percentile)], pa.binary())], names=["part", "shard", "first", "n_ids", "image"])
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([first], pa.int64()), pa.array([total], pa.int64()), pa.array([doc_ids[0]], pa.int64()), pa.array([doc_ids[-1]], pa.int64()), pa.array([pack_shard(doc_ids, ids, block, percentile)], pa.binary())], names=["part", "shard", "first", "n_ids", "low", "high", "image"])
 
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
@@ -140,7 +143,23 @@ def write_shards(documents: DataFrame, tokenizer_path: str, shard_ids: int = SHA
         if ids:
             yield image()
 
-    return materialize(docs.mapInArrow(encode, "part int, shard int, first long, n_ids long, image binary"), "shards")
+    return materialize(docs.mapInArrow(encode, "part int, shard int, first long, n_ids long, low long, high long, image binary"), "shards")
+
+
+def lookup(shards: DataFrame, doc_ids: list[int]) -> DataFrame:
+    """(doc_id, ids) of the documents with these ids, as a trainer fetches them: only shards that may hold one are read, and only the blocks that do are decoded."""
+    wanted = sorted(set(doc_ids))
+    near = reduce(or_, [F.lit(i).between(F.col("low"), F.col("high")) for i in wanted], F.lit(False))
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for image in batch.column("image"):
+                shard = Shard(image.as_py())
+                at = np.flatnonzero(np.isin(shard.doc_ids, wanted)).tolist()
+                if at:
+                    yield pa.RecordBatch.from_arrays([pa.array(shard.doc_ids[at].astype(np.int64)), pa.array([shard.document(k).astype(np.int64) for k in at], pa.list_(pa.int64()))], names=["doc_id", "ids"])
+
+    return shards.where(near).select("image").mapInArrow(fetch, "doc_id long, ids array<long>")
 
 
 def read_documents(shards: DataFrame) -> DataFrame:

@@ -78,6 +78,10 @@ def test_token_files(docs, none, ids):
         assert order == sorted(order, key=lambda i: (i is not None, i or 0))
         assert sorted(((r.doc_id, r.n_tokens, r.ids_crc32) for r in got), key=repr) == sorted(want, key=repr)
     assert token_files.read_documents(token_files.write_shards(none, PATH)).count() == 0
+    shards = token_files.write_shards(docs, PATH, shard_ids=300)
+    held = {i: own.tolist() for i, own in ids}
+    assert {r.doc_id: r.ids for r in token_files.lookup(shards, [3, 68, 40, 999]).collect()} == {i: held[i] for i in (3, 68, 40)}
+    assert token_files.lookup(shards, [74]).count() == 2 and token_files.lookup(shards, []).count() == 0
 
 
 @pytest.mark.parametrize("capacity", [64, 4096])
