@@ -8,7 +8,7 @@ from nearfield.config import DEFAULTS, scalar, with_options
 from nearfield.engine import Engine
 from nearfield.errors import AlreadyExists, CollectionError, FilterError, InvalidArgument, NotFound
 from nearfield.operators import ivf
-from nearfield.plans import budget
+from nearfield.plans import budget, train_budget
 from nearfield.sources import vecs
 from nearfield.streaming.ingest import upsert_stream, windowed_counts
 
@@ -210,6 +210,10 @@ def test_learned_budget_under_filter(spark, make, clustered, tmp_path):
     assert c.search(clustered[5], 10, "price < 5", ef=64).info.strategy == "bitmap"
     assert c.search(clustered[5], 3, "price < 1").info.strategy == "brute_force"
     assert c.search(clustered[5], 3, "price < 50").info.strategy.startswith("post_filter")
+    train_budget.main(["--collection", c.store.root, "--out", str(tmp_path / "trained.json"), "--queries", "60", "--trees", "2"])
+    assert len(budget.load(spark, str(tmp_path / "trained.json")).trees) >= 1
+    with pytest.raises(InvalidArgument):
+        train_budget.train(make(name="empty"))
     saved = make(name="b", **{"early_stop.model": str(tmp_path / "model.json"), "early_stop.multiplier": 2.0})
     assert saved.budget_model.multiplier == 2.0 and saved.budget_model.dumps() == model.dumps().replace('"multiplier": 1.0', '"multiplier": 2.0')
     with pytest.raises(InvalidArgument):
