@@ -1,6 +1,8 @@
+import tarfile
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from nearfield.errors import InvalidArgument
@@ -231,6 +233,29 @@ def test_compare(shop, queries):
     assert all(r["recall"] == 1.0 for r in rows) and rows[0]["selectivity"] == pytest.approx(0.5, abs=0.02)
 
 
+def test_vector_files_whole(spark, tmp_path, monkeypatch):
+    """On a file system that Arrow does not know a task reads a whole file."""
+    x = np.arange(40, dtype=np.float32).reshape(10, 4)
+    vecs.write_vecs(list(x), str(tmp_path / "a.fvecs"))
+
+    def unknown(path):
+        raise pa.ArrowInvalid("unknown scheme")
+
+    monkeypatch.setattr(vecs, "opened", unknown)
+    assert [list(r.vector) for r in vecs.read_vecs(spark, str(tmp_path / "a.fvecs")).orderBy("row").collect()] == x.tolist()
+
+
+def test_tar_member(spark, tmp_path):
+    (tmp_path / "a.tsv").write_text("".join(f"{i}\tpassage {i}\textra\n" for i in range(5000)) + "5000\n")
+    with tarfile.open(tmp_path / "t.tar.gz", "w:gz") as tar:
+        tar.add(tmp_path / "a.tsv", "./a.tsv")
+    rows = vecs.read_tar_tsv(spark, str(tmp_path / "t.tar.gz"), "a.tsv", ["id", "text"])
+    assert rows.count() == 5001 and rows.where("text is null").first().id == "5000" and rows.where("id = '4999'").first().text == "passage 4999"
+    assert vecs.read_tar_tsv(spark, str(tmp_path / "t.tar.gz"), "a.tsv", ["id", "text"], 7).count() == 7
+    with pytest.raises(Exception, match="has no b.tsv"):
+        vecs.read_tar_tsv(spark, str(tmp_path / "t.tar.gz"), "b.tsv", ["id"]).collect()
+
+
 def test_vector_files(spark, tmp_path):
     x = np.arange(12, dtype=np.float32).reshape(3, 4)
     vecs.write_vecs(list(x), str(tmp_path / "a.fvecs"))
@@ -238,6 +263,11 @@ def test_vector_files(spark, tmp_path):
     for kind in "fi":
         got = vecs.read_vecs(spark, str(tmp_path / f"a.{kind}vecs"), kind).orderBy("row").collect()
         assert [list(r.vector) for r in got] == x.tolist()
+        parts = vecs.read_vecs(spark, str(tmp_path / f"a.{kind}vecs"), kind, size=21)
+        assert parts.rdd.getNumPartitions() == 3 and [list(r.vector) for r in parts.orderBy("row").collect()] == x.tolist()
+    (tmp_path / "bad.fvecs").write_bytes(b"\x04\0\0\0" + b"\0" * 9)
+    with pytest.raises(Exception, match="not a file of vectors"):
+        vecs.read_vecs(spark, str(tmp_path / "bad.fvecs")).collect()
     np.save(tmp_path / "a.npy", x)
     assert vecs.load_npy(spark, str(tmp_path / "a.npy")).count() == 3
     (tmp_path / "a.tsv").write_text('1\tsome "text\n2\tmore\n')
