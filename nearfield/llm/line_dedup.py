@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import doc_texts, materialize, scratch
+from nearfield.llm.common import doc_texts, drop_scratch, materialize, scratch
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The characters [\x20\x09-\x0D].
@@ -54,8 +54,8 @@ def compact(runs: list[DataFrame]) -> DataFrame:
     return merged.groupBy("k1", "k2").agg(F.sum("n_docs").alias("n_docs"), F.max("holder").alias("holder"))
 
 
-def line_runs(lines: DataFrame, n_batches: int, fan: int) -> DataFrame:
-    """(k1, k2, n_docs, holder) of every key, built batch by batch through levelled runs."""
+def line_runs(lines: DataFrame, n_batches: int, fan: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(k1, k2, n_docs, holder) of every key, built batch by batch through levelled runs; and the runs it reads."""
     levels: list[list[DataFrame]] = []
     for batch in range(n_batches - 1, -1, -1):
         own = lines.where(F.col("batch") == batch).groupBy("k1", "k2", "doc_id").agg(F.lit(1).alias("one"))
@@ -65,25 +65,30 @@ def line_runs(lines: DataFrame, n_batches: int, fan: int) -> DataFrame:
             own = own.join(known.hint("merge"), ["k1", "k2"], "left").withColumn("holder", F.when(F.col("known").isNull(), F.col("last")))
         else:
             own = own.withColumn("holder", F.col("last"))
-        run, level = own.select("k1", "k2", "n_docs", "holder"), 0
+        run, level, merged = own.select("k1", "k2", "n_docs", "holder"), 0, []
         while True:
             run = materialize(run.sortWithinPartitions("k1", "k2"), f"run{level}")
+            drop_scratch(*merged)
             if level == len(levels):
                 levels.append([])
             levels[level].append(run)
             if len(levels[level]) < fan:
                 break
-            run, levels[level] = compact(levels[level]), []
+            run, merged, levels[level] = compact(levels[level]), levels[level], []
             level += 1
-    return compact([run for level in levels for run in level])
+    last = [run for level in levels for run in level]
+    return compact(last), last
 
 
 def lost_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, n_batches: int = 4, fan: int = 2) -> DataFrame:
     """(doc_id, version, dropped): the positions of the lines that go, of the texts that lose any."""
     lines = line_table(docs, min_chars, n_batches)
-    frequent = materialize(line_runs(lines, n_batches, fan).where(F.col("n_docs") >= min_docs).select("k1", "k2", "holder"), "frequent")
+    keys, runs = line_runs(lines, n_batches, fan)
+    frequent = materialize(keys.where(F.col("n_docs") >= min_docs).select("k1", "k2", "holder"), "frequent")
     lost = lines.join(frequent, ["k1", "k2"]).where(F.col("doc_id") != F.col("holder"))
-    return lost.groupBy("doc_id", "version").agg(F.collect_set("pos").alias("dropped"))
+    lost = materialize(lost.groupBy("doc_id", "version").agg(F.collect_set("pos").alias("dropped")), "lost")
+    drop_scratch(lines, frequent, *runs)
+    return lost
 
 
 def kept_text(text: Column, dropped: Column) -> Column:
