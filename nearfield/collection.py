@@ -329,7 +329,6 @@ class Collection:
             self.spark.createDataFrame([(i, c.tolist(), int(k)) for i, (c, k) in enumerate(zip(cells, counts, strict=True))], "cell int, centroid array<double>, n long").write.parquet(f"{target}/cells")
         if codebooks is not None:
             self.spark.createDataFrame([(j, b.tolist()) for j, b in enumerate(codebooks)], "subspace int, centroids array<array<double>>").write.parquet(f"{target}/codebooks")
-        if codebooks is not None:
             self.manifest["pool"] = pq.tune_depth(written, codebooks)
         self.stats = st.analyze(written, self.kinds, tables=f"{self.store.root}/stats/{name}")
         self.manifest |= {"lsn": self.lsn, "row_id": self.next_row, "kinds": self.kinds, "stats": self.stats, "stream_batch": self.stream_batch, "rows": n}
