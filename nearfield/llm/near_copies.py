@@ -51,6 +51,8 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 FACTORS = np.random.default_rng(5).integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Words of 64 bits in a sketch.
 SKETCH = 16
+#: Bits of the bitmap that tells which sets are wanted (8 MB), and those of one row of it.
+BITMAP, PART = 1 << 26, 1 << 15
 
 
 class WordHashes(dict):
@@ -297,6 +299,23 @@ def sigs(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("u").alias("sig")).union(pairs.select("v")).distinct()
 
 
+def among(sets: DataFrame, some: DataFrame) -> DataFrame:
+    """The (sig, own) of `sets` whose sig is in `some`, and few others: a bitmap of fixed size leaves the rest out, so that they are not shuffled."""
+    place = F.col("sig").bitwiseAND(F.lit(BITMAP - 1))
+    parts = some.groupBy(F.shiftright(place, 15).alias("part")).agg(F.bitmap_construct_agg(place % PART).alias("bits")).toArrow()
+    bits = np.zeros((BITMAP // PART, PART // 8), np.uint8)
+    for part, own in zip(parts.column("part").to_pylist(), parts.column("bits"), strict=True):
+        bits[part] = np.frombuffer(own.as_py(), np.uint8)
+    wanted = sets.sparkSession.sparkContext.broadcast(bits.ravel())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.asarray(batch.column("sig")) & (BITMAP - 1)
+            yield batch.filter(pa.array((wanted.value[at >> 3] >> (at & 7)) & 1 == 1))
+
+    return sets.select("sig", "own").mapInArrow(run, "sig long, own binary")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
     """The pairs whose sets are that similar: by sketches, then by slot counts, then by the sets that are left."""
     share = (1 - similarity) / (1 + similarity)
@@ -332,11 +351,11 @@ def verified(pairs: DataFrame, sets: DataFrame, sketches: DataFrame, similarity:
     pairs = materialize(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct(), "pairs")
     one, two = ends(sketches, "sketch", "size")
     near = materialize(pairs.join(one, "u").join(two, "v").select("u", "v", "sketch_u", "sketch_v", "size_u", "size_v").mapInArrow(sketched, "u long, v long, total long"), "near")
-    slots = sets.select("sig", "own").join(sigs(near), "sig", "left_semi").mapInArrow(counted, "sig long, counts binary")
+    slots = among(sets, sigs(near)).mapInArrow(counted, "sig long, counts binary")
     one, two = ends(slots := materialize(slots.dropDuplicates(["sig"]), "slots"), "counts")
     left = materialize(near.join(one, "u").join(two, "v").select("u", "v", "total", "counts_u", "counts_v").mapInArrow(close, "u long, v long"), "close")
     drop_scratch(pairs, near, slots)
-    one, two = ends(own := materialize(sets.select("sig", "own").join(sigs(left), "sig", "left_semi").dropDuplicates(["sig"]), "sets"), "own")
+    one, two = ends(own := materialize(among(sets, sigs(left)).dropDuplicates(["sig"]), "sets"), "own")
     found = materialize(left.join(one, "u").join(two, "v").select("u", "v", "own_u", "own_v").mapInArrow(compared, "u long, v long"), "verified")
     drop_scratch(left, own)
     return found

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from nearfield.llm import near_copies
@@ -58,3 +59,23 @@ def test_stage(spark):
     assert got == sorted(set(groups(rows)))
     none = frame.limit(0)
     assert corpus_pipeline.drop_copies(spark, none, "").count() == 0
+
+
+def test_unwanted_sets_are_not_shuffled(spark, monkeypatch):
+    """Where the wanted sets are too many to be broadcast, the sets are not joined with them, and none is lost."""
+    frame = spark.range(4000).selectExpr("id doc_id", "concat_ws(' ', transform(sequence(1, 40), k -> concat('w', id div 2 * 40 + k)), if(id % 2 = 1, 'x', 'y')) text")
+    sets = near_copies.materialize(near_copies.profiles(frame, 5), "profiles")
+    pairs = sets.where("doc_id < 100").groupBy(F.expr("doc_id div 2")).agg(F.min("sig").alias("u"), F.max("sig").alias("v")).select("u", "v")
+    want = {(r.u, r.v) for r in pairs.collect()}
+    plans, write = {}, near_copies.materialize
+    monkeypatch.setattr(near_copies, "materialize", lambda df, name: write(plans.setdefault(name, df), name))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        found = near_copies.verified(pairs, sets, sets.select("sig", "sketch", "size"), 0.8)
+        assert {(r.u, r.v) for r in found.collect()} == want and len(want) == 50
+        assert all("Join" not in plans[name]._jdf.queryExecution().executedPlan().toString() for name in ("slots", "sets"))
+        assert plans["slots"].count() < 110
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert near_copies.among(sets, sets.select("sig").limit(0)).count() == 0
