@@ -1,8 +1,8 @@
 """Near copies: documents whose sets of word shingles have a Jaccard similarity of at least `similarity`.
 
 SimHash alone cannot find these: at similarity 0.8 fingerprints of 64 bits differ in up to 14 bits (sf0.1), a distance
-at which chance pairs abound.  So the SimHash search at a small distance gives the first links, and a join on
-shingles completes them.  Under one order of all shingles, common ones last, two sets of that similarity share one of
+at which chance pairs abound.  So the SimHash search at a small distance goes first: its pairs are compared, and what they
+tie into one component is not compared again.  A join on shingles completes them, for pairs that are not tied yet.  Under one order of all shingles, common ones last, two sets of that similarity share one of
 their first n - ceil(similarity n) + 1 shingles, and the first one they share is among fewer still of the smaller set's (its
 short prefix, of n - ceil(2 similarity / (1 + similarity) n) + 1); documents meet on those.  A sketch then tells most candidates apart: the parity of the number of shingles in each
 of 1,024 slots, in which two sets never differ by more bits than they do in shingles.  For the rest these numbers themselves
@@ -316,8 +316,14 @@ def among(sets: DataFrame, some: DataFrame) -> DataFrame:
     return sets.select("sig", "own").mapInArrow(run, "sig long, own binary")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
-    """The pairs whose sets are that similar: by sketches, then by slot counts, then by the sets that are left."""
+def apart(pairs: DataFrame, tied: DataFrame) -> DataFrame:
+    """The pairs (u, v) that `tied` (node, component) has not in one component."""
+    one, two = (tied.select(F.col("node").alias(end), F.col("component").alias(f"in_{end}")) for end in ("u", "v"))
+    return pairs.join(one, "u", "left").join(two, "v", "left").where(F.coalesce("in_u", "u") != F.coalesce("in_v", "v")).select("u", "v")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, sketches: DataFrame, similarity: float, tied: DataFrame | None = None) -> DataFrame:
+    """The pairs whose sets are that similar: by sketches, then by slot counts, then by the sets that are left; those that are `tied` already are left out."""
     share = (1 - similarity) / (1 + similarity)
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -348,7 +354,8 @@ def verified(pairs: DataFrame, sets: DataFrame, sketches: DataFrame, similarity:
             yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     # Written, so that their size is known to the planner: few pairs are sent to the sketches, not the sketches to them.
-    pairs = materialize(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct(), "pairs")
+    pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct()
+    pairs = materialize(pairs if tied is None else apart(pairs, tied), "pairs")
     one, two = ends(sketches, "sketch", "size")
     near = materialize(pairs.join(one, "u").join(two, "v").select("u", "v", "sketch_u", "sketch_v", "size_u", "size_v").mapInArrow(sketched, "u long, v long, total long"), "near")
     slots = among(sets, sigs(near)).mapInArrow(counted, "sig long, counts binary")
@@ -365,9 +372,11 @@ def similar_pairs(sets: DataFrame, similarity: float, distance: int, crowd: int)
     """Links (u, v) between sets whose connected parts are those of all pairs of that similarity."""
     prints = materialize(sets.groupBy("fp").agg(F.min("sig").alias("rep")), "prints")
     sketches = materialize(sets.select("sig", "sketch", "size").dropDuplicates(["sig"]), "sketches")
+    equal = sets.select("fp", "sig").distinct().join(prints, "fp").select(F.col("sig").alias("u"), F.col("rep").alias("v")).where("u <> v")
+    found = verified(links(prints, distance).union(equal), sets, sketches, similarity)
+    tied = connected_components(found)
     met = materialize(meetings(sets, similarity, crowd), "meetings")
-    pairs = met.where(F.col("kind") == PAIR).select("u", "v").union(links(prints, distance))
-    found = verified(pairs, sets, sketches, similarity)
+    found = found.union(verified(met.where(F.col("kind") == PAIR).select("u", "v"), sets, sketches, similarity, tied))
     crowded = met.where(F.col("kind") == CROWDED).select("h", F.col("u").alias("sig"), F.col("v").alias("size"), "short")
     if not crowded.isEmpty():
         so_far = connected_components(found).withColumnRenamed("node", "sig")
@@ -375,8 +384,8 @@ def similar_pairs(sets: DataFrame, similarity: float, distance: int, crowd: int)
         mixed = crowded.groupBy("h").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("h")
         rest = crowded.join(mixed, "h", "left_semi").join(sketches.select("sig", "sketch"), "sig").select("h", "sig", "size", "short", "component", "sketch")
         found = found.union(verified(crowded_candidates(rest, similarity), sets, sketches, similarity))
-        drop_scratch(crowded)
-    drop_scratch(prints, sketches, met)
+        drop_scratch(crowded, so_far)
+    drop_scratch(prints, sketches, met, tied)
     return found
 
 

@@ -79,3 +79,31 @@ def test_unwanted_sets_are_not_shuffled(spark, monkeypatch):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert near_copies.among(sets, sets.select("sig").limit(0)).count() == 0
+
+
+def test_simhash_spares_comparisons(spark, monkeypatch):
+    """What the SimHash search ties is not compared again by the join on shingles, and the groups stay those of all pairs."""
+    rng = random.Random(3)
+    rows = corpus()
+    for i in range(40):
+        text = [rng.choice(WORDS) for _ in range(600)]
+        rows += [(len(rows) + k, " ".join([*text[:-1], f"end{k}"])) for k in range(3)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    written, write = [], near_copies.materialize
+
+    def keep(df, name):
+        out = write(df, name)
+        if name in ("pairs", "verified"):
+            written.append((name, [(r.u, r.v) for r in out.select("u", "v").collect()]))
+        return out
+
+    monkeypatch.setattr(near_copies, "materialize", keep)
+    got = sorted(r.doc_id for r in near_copies.drop_near_copies(frame).collect())
+    assert got == sorted(set(groups(rows)))
+    assert [name for name, _ in written] == ["pairs", "verified"] * 3  # SimHash, the join, its crowded shingles
+    label = {}
+    for u, v in written[1][1]:
+        a, b = label.setdefault(u, u), label.setdefault(v, v)
+        label = {k: a if c == b else c for k, c in label.items()}
+    assert len(label) > 40
+    assert written[2][1] and all(label.get(u, u) != label.get(v, v) for u, v in written[2][1])
