@@ -13,14 +13,26 @@ from nearfield.operators.topk import matrix
 
 #: Rows that a fit on a sample reads at most.
 SAMPLE = 65_536
+#: Distances computed at a time.
+TILE = 1 << 20
 
 
 def squared(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return (x * x).sum(axis=1)[:, None] - 2 * (x @ c.T) + (c * c).sum(axis=1)[None, :]
 
 
+def nearest_distances(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nearest centroid, squared distance to it) of each row of x, some rows at a time."""
+    own, near, step = np.empty(len(x), np.int64), np.empty(len(x)), max(1, TILE // len(c))
+    for begin in range(0, len(x), step):
+        d = squared(x[begin : begin + step], c)
+        own[begin : begin + step] = some = np.argmin(d, axis=1)
+        near[begin : begin + step] = d[np.arange(len(d)), some]
+    return own, near
+
+
 def nearest_centroid(x: np.ndarray, c: np.ndarray) -> np.ndarray:
-    return np.argmin(squared(x, c), axis=1)
+    return nearest_distances(x, c)[0]
 
 
 def fit(x: np.ndarray, k: int, iterations: int = 20, seed: int = 42) -> np.ndarray:
@@ -30,14 +42,13 @@ def fit(x: np.ndarray, k: int, iterations: int = 20, seed: int = 42) -> np.ndarr
     k = min(k, len(x))
     c = x[rng.choice(len(x), k, replace=False)].copy()
     for _ in range(iterations):
-        d = squared(x, c)
-        own = np.argmin(d, axis=1)
+        own, near = nearest_distances(x, c)
         counts = np.bincount(own, minlength=k)
         sums = np.zeros_like(c)
         np.add.at(sums, own, x)
         new = sums / np.maximum(counts, 1)[:, None]
         if (empty := np.flatnonzero(counts == 0)).size:
-            new[empty] = x[np.argsort(-d[np.arange(len(x)), own], kind="stable")[: empty.size]]
+            new[empty] = x[np.argsort(-near, kind="stable")[: empty.size]]
         if np.array_equal(new, c):
             break
         c = new

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from nearfield.operators import topk
+from nearfield.operators import kmeans, topk
 
 
 def peak(f):
@@ -47,6 +47,14 @@ def test_batch_search_memory(spark, monkeypatch):
         assert [r[2] for r in got[5 * i : 5 * i + 5]] == np.lexsort((np.arange(10_000), d))[:5].tolist()
 
 
+def test_assignment_memory():
+    rng = np.random.default_rng(0)
+    x, c = rng.normal(size=(10_000, 8)), rng.normal(size=(3000, 8))
+    found, mb = peak(lambda: kmeans.nearest_centroid(x, c))
+    assert mb < 60
+    assert np.array_equal(found[:100], ((x[:100, None] - c[None]) ** 2).sum(axis=2).argmin(axis=1))
+
+
 @pytest.mark.parametrize("kind", ["equal", "near", "large", "huge", "tiny", "offset", "one far", "nan", "few"])
 def test_nearest(kind, monkeypatch):
     """Exact at any scale, with ties by id, over many small steps."""
