@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 from nearfield.operators.topk import top_k_batch
 
 
-def knn_graph(base: DataFrame, m: int, id: str = "id", vector: str = "vector", page: int = 4096) -> DataFrame:
+def knn_graph(base: DataFrame, m: int, id: str = "id", vector: str = "vector", page: int | None = None) -> DataFrame:
     """(src, rank, dst, distance): the m nearest others of every row."""
     queries = base.select(F.col(id).alias("qid"), F.col(vector).alias("qv"))
-    near = top_k_batch(base, queries, m + 1, id, vector, page=page).where(F.col("qid") != F.col(id))
+    near = top_k_batch(base, queries, m + 1, id, vector, page=page, spread=True).where(F.col("qid") != F.col(id))
     order = Window.partitionBy("src").orderBy("distance", "dst")
     return near.select(F.col("qid").alias("src"), F.col(id).alias("dst"), "distance").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= m).select("src", "rank", "dst", "distance")
 

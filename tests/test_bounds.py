@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from nearfield.operators import kmeans, topk
+from nearfield.operators import graph, kmeans, topk
 
 
 def peak(f):
@@ -92,3 +92,17 @@ def test_nearest(kind, monkeypatch):
             first = np.lexsort((ids[some], exact))[:k]
             assert own[row == j].tolist() == ids[some][first].tolist()
             assert np.array_equal(d[row == j], exact[first], equal_nan=True)
+
+
+def test_graph_pages(spark):
+    """All rows are queries of the graph: they fill few pages, and the rows are dealt to all cores although one file has them."""
+    x = np.random.default_rng(1).normal(size=(5000, 2))
+    frame = spark.createDataFrame(list(enumerate(x.tolist())), "id long, vector array<double>").coalesce(1)
+    edges = graph.knn_graph(frame, 2)
+    plan = edges._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Repartition 4" in plan
+    got = {(r.src, r["rank"]): r.dst for r in edges.where("src % 500 = 0").collect()}
+    for i in range(0, 5000, 500):
+        near = ((x - x[i]) ** 2).sum(axis=1)
+        near[i] = np.inf
+        assert [got[i, 1], got[i, 2]] == np.argsort(near)[:2].tolist()
