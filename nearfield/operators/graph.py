@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from nearfield.operators.topk import top_k_batch
+from nearfield.operators.topk import matrix, top_k_batch
 
 
 def knn_graph(base: DataFrame, m: int, id: str = "id", vector: str = "vector", page: int | None = None) -> DataFrame:
@@ -25,6 +25,29 @@ def reverse_edges(edges: DataFrame) -> DataFrame:
     return edges.groupBy("dst").agg(F.array_sort(F.collect_list("src")).alias("sources"))
 
 
+class Thinned:
+    """Up to m of the candidates of a node, which come nearest first: each nearer to the node than to any kept before it; all of them if fewer than m come."""
+
+    def __init__(self, m: int):
+        self.m, self.seen, self.first, self.kept, self.vectors = m, 0, [], [], None
+
+    def add(self, labels: np.ndarray, distances: np.ndarray, vectors: np.ndarray) -> None:
+        if not self.seen:
+            self.vectors = np.empty((self.m, vectors.shape[1]))
+        self.first += zip(labels[: max(0, self.m - self.seen)].tolist(), distances.tolist(), strict=False)
+        self.seen += len(labels)
+        for label, d, v in zip(labels.tolist(), distances.tolist(), vectors, strict=True):
+            n = len(self.kept)
+            if n == self.m:
+                break
+            if not n or (((v - self.vectors[:n]) ** 2).sum(axis=1) > d).all():
+                self.vectors[n] = v
+                self.kept.append((label, d))
+
+    def edges(self) -> list[tuple[int, float]]:
+        return self.first if self.seen < self.m else self.kept
+
+
 def diverse(base: np.ndarray, candidates: np.ndarray, distances: np.ndarray, m: int) -> list[int]:
     """Positions of up to m candidates, nearest first, each nearer to the base than to any kept before it.
 
@@ -32,29 +55,41 @@ def diverse(base: np.ndarray, candidates: np.ndarray, distances: np.ndarray, m:
     """
     if len(candidates) < m:
         return list(range(len(candidates)))
-    kept: list[int] = []
-    for i in np.argsort(distances, kind="stable").tolist():
-        if all(((candidates[i] - candidates[j]) ** 2).sum() > distances[i] for j in kept):
-            kept.append(i)
-            if len(kept) == m:
-                break
-    return kept
+    order, thinned = np.argsort(distances, kind="stable"), Thinned(m)
+    thinned.add(order, distances[order], candidates[order])
+    return [i for i, _ in thinned.edges()]
 
 
 def prune(edges: DataFrame, base: DataFrame, m: int, id: str = "id", vector: str = "vector") -> DataFrame:
-    """(src, dst, distance): each node's edges thinned to m diverse ones.  A node's candidates are gathered: a search's k, and the reverses of those."""
-    ends = edges.join(base.select(F.col(id).alias("dst"), F.col(vector).alias("v")), "dst").join(base.select(F.col(id).alias("src"), F.col(vector).alias("b")), "src")
-    lists = ends.groupBy("src").agg(F.first("b").alias("b"), F.array_sort(F.collect_list(F.struct("distance", "dst", "v"))).alias("near"))
+    """(src, dst, distance): each node's edges thinned to m diverse ones.
+
+    A node's candidates come in order of distance, in as many batches as they fill, and only what is kept is held.
+    """
+    ends = edges.join(base.select(F.col(id).alias("dst"), F.col(vector).alias("v")), "dst").select(F.col("src").cast("long"), F.col("dst").cast("long"), "distance", "v")
+    lists = ends.repartition("src").sortWithinPartitions("src", "distance", "dst")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(ended: list[tuple[int, Thinned]]) -> pa.RecordBatch:
+            found = [(src, dst, d) for src, thinned in ended for dst, d in thinned.edges()]
+            columns = zip(*found, strict=True) if found else [[]] * 3
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["src", "dst", "distance"])
+
+        nodes: list[tuple[int, Thinned]] = []
         for batch in batches:
-            rows = []
-            for src, own, near in zip(*(batch.column(c).to_pylist() for c in ("src", "b", "near")), strict=True):
-                d = np.array([x["distance"] for x in near])
-                kept = diverse(np.array(own), np.array([x["v"] for x in near], np.float64), d, m)
-                rows += [(src, near[i]["dst"], near[i]["distance"]) for i in kept]
-            columns = zip(*rows, strict=True) if rows else [[]] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["src", "dst", "distance"])
+            if not batch.num_rows:
+                continue
+            src, dst, d = (np.asarray(batch.column(c)) for c in ("src", "dst", "distance"))
+            v, cuts = matrix(batch.column("v")), np.flatnonzero(np.diff(src)) + 1
+            for begin, end in zip([0, *cuts.tolist()], [*cuts.tolist(), len(src)], strict=True):
+                if not nodes or nodes[-1][0] != src[begin]:
+                    if nodes:
+                        nodes[-1][1].vectors = None
+                    nodes.append((int(src[begin]), Thinned(m)))
+                nodes[-1][1].add(dst[begin:end], d[begin:end], v[begin:end])
+            # The last node may go on in the next batch.
+            yield rows(nodes[:-1])
+            del nodes[:-1]
+        yield rows(nodes)
 
     return lists.mapInArrow(run, "src long, dst long, distance double")
 
@@ -62,5 +97,6 @@ def prune(edges: DataFrame, base: DataFrame, m: int, id: str = "id", vector: str
 def proximity_graph(base: DataFrame, m: int, candidates: int, id: str = "id", vector: str = "vector") -> DataFrame:
     """Pruned nearest-neighbour edges with their reverses, 2 m a node at most: a layer-0 graph."""
     forward = prune(knn_graph(base, candidates, id, vector), base, m, id, vector)
-    both = forward.union(forward.select("dst", "src", "distance")).dropDuplicates(["src", "dst"])
+    ways = F.explode(F.array(F.struct("src", "dst", "distance"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"), "distance")))
+    both = forward.select(ways.alias("e")).select("e.*").dropDuplicates(["src", "dst"])
     return prune(both, base, 2 * m, id, vector)

@@ -106,3 +106,31 @@ def test_graph_pages(spark):
         near = ((x - x[i]) ** 2).sum(axis=1)
         near[i] = np.inf
         assert [got[i, 1], got[i, 2]] == np.argsort(near)[:2].tolist()
+
+
+def test_prune_streams(spark):
+    """A node's candidates are not gathered with their vectors, and may fill several batches."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, 3))
+    x[:20] = x[0] + rng.normal(size=(20, 3)) * 0.01
+    base = spark.createDataFrame(list(enumerate(x.tolist())), "id long, vector array<double>")
+    pairs = {i: [j for j in range(60) if i != j and (i < 3 or (i * j) % 7 == 1)] for i in range(60)}
+    edges = spark.createDataFrame([(i, j, float(((x[i] - x[j]) ** 2).sum())) for i, some in pairs.items() for j in some], "src long, dst long, distance double").repartition(3)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "7")
+    try:
+        thinned = graph.prune(edges, base, 4)
+        assert "collect_list" not in thinned._jdf.queryExecution().optimizedPlan().toString()
+        got = {}
+        for r in thinned.collect():
+            got.setdefault(r.src, []).append((r.distance, r.dst))
+    finally:
+        spark.conf.set(name, before)
+    for i, some in pairs.items():
+        near = sorted((float(((x[i] - x[j]) ** 2).sum()), j) for j in some)
+        kept = []
+        for d, j in near:
+            if len(near) < 4 or len(kept) < 4 and all(((x[j] - x[o]) ** 2).sum() > d for _, o in kept):
+                kept.append((d, j))
+        assert sorted(got.get(i, [])) == kept
