@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from nearfield.errors import InvalidArgument
 from nearfield.operators import ivf, kmeans
-from nearfield.operators.topk import matrix, merge_nearest, pages, ranked, rerank, top_k_batch
+from nearfield.operators.topk import KEPT, matrix, pages, ranked, rerank, top_k_batch
 
 #: Centroids in a codebook: as many as a byte tells apart.
 KSUB = 256
@@ -82,37 +82,51 @@ def code_matrix(column: pa.Array, m: int) -> np.ndarray:
     return np.asfortranarray(np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, m))
 
 
-def nearest_codes(codes: np.ndarray, ids: np.ndarray, table: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, distances) of the k nearest codes of one query; equal distances by id."""
-    d = table_distances(codes, table)
-    some = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1]) if len(d) > k else np.arange(len(d))
-    some = some[np.lexsort((ids[some], d[some]))[:k]]
-    return ids[some], d[some]
+def nearest_codes(kept: tuple[np.ndarray, np.ndarray], ids: np.ndarray, d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, distances) of the k nearest among those kept and more; equal distances by id, in no order."""
+    if len(kept[1]) == k:
+        some = np.flatnonzero(~(d > kept[1].max()))
+        if not len(some):
+            return kept
+        ids, d = ids[some], d[some]
+    ids, d = np.concatenate((kept[0], ids)), np.concatenate((kept[1], d))
+    if len(d) > k:
+        kth = np.partition(d, k - 1)[k - 1]
+        below, equal = (d < kth, d == kth) if kth == kth else (d == d, d != d)
+        below, equal = np.flatnonzero(below), np.flatnonzero(equal)
+        some = np.concatenate((below, equal[np.argsort(ids[equal], kind="stable")[: k - len(below)]]))
+        ids, d = ids[some], d[some]
+    return ids, d
 
 
 def scan(encoded: DataFrame, codebooks: np.ndarray, queries: DataFrame, k: int, id: str = "id", page: int = 256) -> DataFrame:
-    """(qid, rank, id, distance): the k nearest codes of every query by table lookup; a task keeps its k nearest a query."""
+    """(qid, rank, id, distance): the k nearest codes of every query by table lookup; a task keeps its k nearest a query.
+
+    The deeper the pool, the fewer queries make a page, so a task's memory does not follow k.  Codes are dealt once for
+    all pages, in no more parts than give all cores work: each part keeps k a query.
+    """
     spark, parts = encoded.sparkSession, None
     m = len(codebooks)
-    for q_ids, q in pages(queries, "qid", "qv", page):
-        shared = spark.sparkContext.broadcast((q_ids, tables(q, codebooks)))
+    shared_pages = [spark.sparkContext.broadcast((q_ids, tables(q, codebooks))) for q_ids, q in pages(queries, "qid", "qv", max(1, min(page, KEPT // k)))]
+    codes_only = encoded.select(F.col(id).cast("long").alias("id"), "code")
+    if shared_pages:
+        cores = spark.sparkContext.defaultParallelism
+        codes_only = codes_only.repartition(min(cores, -(-4 * cores // len(shared_pages))))
+    for shared in shared_pages:
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             q_ids, luts = shared.value
-            best: list[tuple] = []
+            best = [(np.empty(0, np.int64), np.empty(0))] * len(luts)
             for batch in batches:
                 if not batch.num_rows:
                     continue
                 ids, codes = np.asarray(batch.column("id")), code_matrix(batch.column("code"), m)
-                for number, lut in enumerate(luts):
-                    own, d = nearest_codes(codes, ids, lut, k)
-                    best.append((np.full(len(own), number), own, d))
-                best = [merge_nearest(best, k)]
-            if best:
-                row, own, d = best[0]
-                yield pa.RecordBatch.from_arrays([pa.array(q_ids[row]), pa.array(own), pa.array(d)], names=["qid", "id", "distance"])
-
-        part = encoded.select(F.col(id).cast("long").alias("id"), "code").mapInArrow(run, "qid long, id long, distance double")
+                best = [nearest_codes(kept, ids, table_distances(codes, lut), k) for kept, lut in zip(best, luts, strict=True)]
+            for q_id, (own, d) in zip(q_ids.tolist(), best, strict=True):
+                if len(own):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), q_id)), pa.array(own), pa.array(d)], names=["qid", "id", "distance"])
+
+        part = codes_only.mapInArrow(run, "qid long, id long, distance double")
         parts = part if parts is None else parts.union(part)
     if parts is None:
         parts = spark.createDataFrame([], "qid long, id long, distance double")

@@ -154,14 +154,6 @@ class Nearest:
         return row, self.ids[row, place], self.d[row, place]
 
 
-def merge_nearest(parts: list[tuple], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    row, ids, d = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.lexsort((ids, d, row))
-    row, ids, d = row[order], ids[order], d[order]
-    keep = np.arange(len(row)) - np.searchsorted(row, row, side="left") < k
-    return row[keep], ids[keep], d[keep]
-
-
 def by_value(values: np.ndarray, visitors: dict[int, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """The rows of each value that queries look at, and those queries."""
     order = np.argsort(values, kind="stable")

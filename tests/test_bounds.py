@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from nearfield.operators import graph, kmeans, topk
+from nearfield.operators import graph, kmeans, pq, topk
 
 
 def peak(f):
@@ -134,3 +134,20 @@ def test_prune_streams(spark):
             if len(near) < 4 or len(kept) < 4 and all(((x[j] - x[o]) ** 2).sum() > d for _, o in kept):
                 kept.append((d, j))
         assert sorted(got.get(i, [])) == kept
+
+
+def test_code_scan_memory(spark, monkeypatch):
+    """A deep pool of many queries: a task holds what it keeps and little besides; equal distances go by id."""
+    rng = np.random.default_rng(0)
+    books, k = rng.integers(0, 4, (2, 256, 2)).astype(np.float64), 3000
+    codes, q = rng.integers(0, 256, (30_000, 2)).astype(np.uint8), rng.normal(size=(256, 4))
+    ids = rng.permutation(30_000)
+    frame = spark.createDataFrame([(i, v) for i, v in enumerate(q.tolist())], "qid long, qv array<double>")
+    encoded = spark.createDataFrame([(0, b"00")], "id long, code binary")
+    run = task(monkeypatch, encoded, lambda: pq.scan(encoded, books, frame, k))
+    some = [pa.RecordBatch.from_arrays([pa.array(ids[i : i + 10_000]), pa.array([c.tobytes() for c in codes[i : i + 10_000]], pa.binary())], names=["id", "code"]) for i in range(0, 30_000, 10_000)]
+    found, mb = peak(lambda: {b.column("qid")[0].as_py(): set(b.column("id").to_pylist()) for b in run(iter(some)) if b.column("qid")[0].as_py() in (0, 255)})
+    assert mb < 40
+    for i in (0, 255):
+        d = pq.table_distances(codes, pq.tables(q, books)[i])
+        assert found[i] == set(ids[np.lexsort((ids, d))[:k]].tolist())
